@@ -23,6 +23,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 OPEN_BINS = 256
 #: Items a packer takes; two shards of a capacity are packed by different tasks.
 SHARD_ITEMS = 50_000
+#: Limits a call may state; more are an error.
+MOST_LIMITS = 10_000
 
 
 class Packer:
@@ -146,12 +148,18 @@ def containers(
     1 has no containers. Empty tables give an empty result.
     """
     sizes = cut(token_sizes(documents, id_col, text_col, tokenizer).withColumn("row", F.monotonically_increasing_id()))
-    lims = limits.select(F.col(limit_col).cast("long").alias("limit_id"), F.col(capacity_col).cast("long").alias("capacity")).where("capacity >= 1")
-    n_rows, n_limits = sizes.count(), lims.count()
+    lims = limits.select(F.col(limit_col).cast("long").alias("limit_id"), F.col(capacity_col).cast("long").alias("capacity")).where("capacity >= 1").distinct()
+    stated = lims.limit(MOST_LIMITS + 1).collect()
+    if len(stated) > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} limits")
+    n_rows = sizes.count()
+    each = F.array(*(F.struct(F.lit(r.limit_id).cast("long").alias("limit_id"), F.lit(r.capacity).cast("long").alias("capacity")) for r in stated))
+    if not stated:
+        each = each.cast("array<struct<limit_id: bigint, capacity: bigint>>")
     cap, n = F.col("capacity"), F.col("n_tokens")
-    # one row a text and limit: the limits are the stated set every text is packed for
+    # one row a text and limit: every text is packed for each of the stated limits
     pieces = (
-        sizes.join(F.broadcast(lims) if n_limits <= 10_000 else lims, how="cross")
+        sizes.select("*", F.inline(each))
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(n / cap) - 1, F.lit(0)).cast("long"))))
         .withColumn("start_token", F.col("piece") * cap)
         .withColumn("size", F.least(cap, n - F.col("start_token")))
