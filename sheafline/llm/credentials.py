@@ -51,6 +51,9 @@ _PIECES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 # fixed values: parts of names that hold credentials, of those that may, and ends that make them something else
 STRONG = frozenset("password passwd passphrase passwort passcode pwd pw pass secret secrets cred creds credential credentials apikey authtoken accesskey secretkey privatekey".split())
 WEAK = frozenset("token tokens key keys auth seed authkey bearer".split())
+#: Ends of names written in one piece, as in ``Adminpassword``.
+_STRONG_END = re.compile(r".+(?:password|passwd|passphrase|secret|apikey|accesskey|secretkey|privatekey|credentials?)$")
+_WEAK_END = re.compile(r".{2,}(?:token|auth)$|.{4,}key$")
 OTHER_END = frozenset(
     "hint label count question policy length id ids name names url uri file path dir field column header prefix suffix type kind min max size limit ttl expiry expires expiration rotation reset attempts "
     "index idx version algorithm alg format pattern regex placeholder text title message prompt strength score required enabled visible manager provider store ref arn age input form page icon event".split()
@@ -96,15 +99,17 @@ def entropy(s: str) -> float:
 
 def random_looking(v: str) -> bool:
     """Long, without spaces, of mixed kinds of characters: issued by a machine rather than written."""
-    if len(v) < 14 or any(c.isspace() for c in v) or "://" in v:
+    if len(v) < 14 or any(c.isspace() for c in v) or "://" in v or v.startswith("data:"):
         return False
-    kinds = any(c.islower() for c in v) + any(c.isupper() for c in v) + any(c.isdigit() for c in v)
-    return kinds >= 2 and any(c.isdigit() for c in v) and entropy(v) >= 2.8
+    digit = any(c.isdigit() for c in v)
+    kinds = any(c.islower() for c in v) + any(c.isupper() for c in v) + digit
+    mixed = len(v) >= 24 and len(re.findall(r"[a-z][A-Z]|[A-Z][a-z]", v)) >= len(v) // 4
+    return kinds >= 2 and (digit or mixed) and entropy(v) >= 2.8
 
 
 def placeholder(v: str) -> bool:
     v = v.strip()
-    return len(v) < 4 or bool(_PLACEHOLDER.fullmatch(v)) or len(set(v)) <= 2 or "${" in v or "{{" in v
+    return len(v) < 4 or v.startswith("data:") or bool(_PLACEHOLDER.fullmatch(v)) or len(set(v)) <= 2 or "${" in v or "{{" in v
 
 
 def name_strength(name: str) -> int:
@@ -112,9 +117,9 @@ def name_strength(name: str) -> int:
     parts = [p.lower() for p in _PIECES.findall(name)]
     if not parts or parts[-1] in OTHER_END or any(p in OTHER_PART for p in parts):
         return 0
-    if any(p in STRONG for p in parts):
+    if any(p in STRONG or _STRONG_END.match(p) for p in parts):
         return 2
-    return 1 if any(p in WEAK for p in parts) else 0
+    return 1 if any(p in WEAK or _WEAK_END.match(p) for p in parts) else 0
 
 
 # -- layers ---------------------------------------------------------------------------

@@ -275,9 +275,7 @@ class Parser:
             return self._container(j)
         if _PREFIX.match(lines[j].text):
             return self._prefixed(j)
-        if self._intro(j) > j and self._quote(self._intro(j)) < n:
-            return self._quote(self._intro(j))
-        return n
+        return n  # a message that isn't set off goes on to the end, whatever it quotes itself
 
     def _container(self, j: int) -> int:
         while j < len(self.lines) and (self.lines[j].depth > self.base or not self.lines[j].text.strip()):
@@ -403,8 +401,10 @@ class Parser:
 
 def _unfinished(quoted: str, after: str) -> bool:
     """Whether ``after``, which has no prefix, is the wrapped rest of the quoted line before it."""
-    if not quoted or not after or re.search(r"[.!?:>]\W*$", quoted) or CLOSINGS.fullmatch(after):
+    if not quoted or not after or (re.search(r"[.!?:]\W*$", quoted) and not re.search(r"\b[Nn]o\.$", quoted)) or CLOSINGS.fullmatch(after):
         return False
+    if quoted.endswith(">"):
+        return after.endswith(":") and after[0].islower()
     text = _PREFIX.sub("", quoted)
     return (len(text) >= 45 or after[0].islower() or after[0] == "<") and not _RULE.match(text) and not _SEPARATOR.match(text)
 
