@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +24,28 @@ def session(app: str = "sheafline", master: str | None = None, **conf: str) -> S
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package, once an application, however they were started."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        here = Path(__file__).resolve().parent
+        # the driver serves this file to executors as they come, so it has to last
+        tmp = tempfile.mkdtemp(prefix="sheafline-")
+        atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+        kept = shutil.copytree(here, Path(tmp, "src", here.name), ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(str(Path(tmp, here.name)), "zip", kept.parent))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
