@@ -313,7 +313,7 @@ class Parser:
                     intro = lines[i:k]
                     end = self._quote(k)
             if end > i:
-                root.children += self._authored(own)
+                root.children += self._authored(own, quoted)
                 own, quoted = [], True
                 root.children.append(Node("intro", intro))
                 root.children.append(self._nested(lines[i + len(intro) : end]))
@@ -321,7 +321,7 @@ class Parser:
             else:
                 own.append(lines[i])
                 i += 1
-        root.children += self._authored(own)
+        root.children += self._authored(own, quoted)
         return root
 
     def _nested(self, lines: list[Line]) -> Node:
@@ -335,7 +335,7 @@ class Parser:
             node.children = [Parser(inner, Sender(None, None), self.level + 1, self.gap).parse()]
         return node
 
-    def _authored(self, lines: list[Line]) -> list[Node]:
+    def _authored(self, lines: list[Line], quoted: bool) -> list[Node]:
         """Authored text, signatures and notices of a run of lines outside quotes."""
         s, n = self.sender, len(lines)
         kind = ["authored"] * n
@@ -366,7 +366,7 @@ class Parser:
                 while k >= 0 and (s.role(text[full[k]]) or s.named(text[full[k]]) or CLOSINGS.fullmatch(text[full[k]]) or _RULE.match(text[full[k]])):
                     kind[full[k]] = "signature"
                     k -= 1
-            elif s.named(t) and all(kind_ok(x) for x in rest) and i > 0:
+            elif s.named(t) and all(kind_ok(x) for x in rest) and (i > 0 or quoted):
                 kind[at] = "signature"
             i += 1
         out: list[Node] = []

@@ -165,6 +165,7 @@ def containers(
         .withColumn("size", F.least(cap, n - F.col("start_token")))
         .withColumn("unit", F.concat_ws(":", F.col("row"), F.col("piece")))
     )
+    shard_items = max(shard_items, 4 * open_bins)  # what shards leave open has to shrink from level to level
     rows = ("limit_id", "container", "doc_id", "piece", "start_token", "tokens")
     whole = pieces.where(F.col("size") == cap).withColumn("container", F.concat_ws(":", "limit_id", F.lit("t"), "unit")).withColumn("tokens", F.col("size")).select(*rows)
     parts = pieces.where(F.col("size") < cap)
