@@ -32,7 +32,7 @@ def bundle_tokens(total_chars: Column, n_files: Column) -> Column:
 
 def format_size(n: Column) -> Column:
     """Bytes in 1024 steps with at most two decimals, trailing zeros cut (C6); huge sizes stay in GB."""
-    exp = F.least(F.floor(F.log(F.lit(1024.0), F.greatest(n, F.lit(1)).cast("double"))), F.lit(3))
+    exp = F.least(F.floor(F.log(1024.0, F.greatest(n, F.lit(1)).cast("double"))), F.lit(3))
     value = F.round(n / F.pow(F.lit(1024.0), exp), 2)
     shown = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
     unit = F.element_at(F.array(*(F.lit(u) for u in ("Bytes", "KB", "MB", "GB"))), (exp + 1).cast("int"))
@@ -206,4 +206,4 @@ def lead_paragraph(text: Column) -> Column:
     """The first paragraph after the first heading; none if a heading or fence comes first."""
     body = F.regexp_extract(text, r"(?s)(?:\A|\n)# [^\n]*\n(.*)\z", 1)
     first = F.try_element_at(F.filter(F.split(body, r"\n\s*\n"), lambda p: F.trim(p) != ""), F.lit(1))
-    return F.when(~F.coalesce(first, F.lit("#")).rlike(r"^\s*(#|```)"), F.regexp_replace(F.trim(first), r"\s*\n\s*", " "))
+    return F.when(~F.coalesce(first, F.lit("#")).rlike(r"^\s*(#|```)"), F.regexp_replace(trimmed(first), r"\s*\n\s*", " "))
