@@ -81,34 +81,90 @@ def tokens(s: str) -> list[str]:
     return list(dict.fromkeys(w for w in _LETTERS.findall(s.casefold())))
 
 
+#: Documents a scan holds as arrays at once.
+BLOCK = 400
+
+
 class Lexicon:
     """Per word the share of each subject, as if all subjects were equally common."""
 
     def __init__(self, subjects: list[str], words: dict[str, np.ndarray]):
         self.subjects = subjects
         self.n = len(subjects)
-        self.log = {w: np.log(q + 0.02) for w, q in words.items()}
+        self.at = {w: i for i, w in enumerate(words)}
+        self.log = np.log(np.array(list(words.values())).reshape(len(words), self.n) + 0.02)
+        # the last row stands for words without a subject
+        self.log = np.vstack([self.log, np.zeros(self.n)])
+
+
+def posterior(scores: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """Rows of log-likelihoods as probabilities."""
+    x = scores if prior is None else scores + np.log(prior + 1e-3)
+    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+class Block:
+    """Texts of some documents as arrays: words, the sentence of each, the document of each sentence."""
+
+    def __init__(self, docs: list, lex: Lexicon):
+        vocabulary: dict[str, int] = {}
+        ids: list[int] = []
+        lengths: list[int] = []
+        of: list[int] = []
+        for k, doc in enumerate(docs):
+            for sent in doc:
+                if len(sent):
+                    ids += [vocabulary.setdefault(w, len(vocabulary)) for w in sent]
+                    lengths.append(len(sent))
+                    of.append(k)
+        self.vocabulary, self.n_docs = vocabulary, len(docs)
+        self.ids = np.array(ids, dtype=np.int64)
+        self.doc = np.array(of, dtype=np.int64)
+        self.sent = np.repeat(np.arange(len(lengths)), lengths)
+        known = np.array([lex.at.get(w, -1) for w in vocabulary], dtype=np.int64)
+        if len(ids):
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            index = known[self.ids]
+            self.scores = np.add.reduceat(lex.log[index], starts, axis=0)
+            self.has = np.add.reduceat((index >= 0).astype(np.int64), starts) > 0
+        else:
+            self.scores, self.has = np.zeros((0, lex.n)), np.zeros(0, dtype=bool)
+        self.own = posterior(self.scores) if len(self.scores) else self.scores
+
+    def theta(self) -> np.ndarray:
+        """Per document the sum of its sentences' subjects."""
+        out = np.zeros((self.n_docs, self.own.shape[1]))
+        np.add.at(out, self.doc[self.has], self.own[self.has])
+        return out
+
+    def by_word(self, weights: np.ndarray) -> np.ndarray:
+        """Sums over each word's occurrences of the rows of their sentences."""
+        out = np.zeros((len(self.vocabulary), weights.shape[1]))
+        order = np.argsort(self.ids, kind="stable")
+        starts = np.searchsorted(self.ids[order], np.arange(len(self.vocabulary)))
+        if len(order):
+            out = np.add.reduceat(weights[self.sent[order]], starts, axis=0)
+        return out
 
-    def score(self, toks: list[str]) -> np.ndarray | None:
-        """Log-likelihood of each subject, or nothing if no word has one."""
-        found = [self.log[w] for w in toks if w in self.log]
-        return np.sum(found, axis=0) if found else None
 
+def _whole(parts: list) -> list:
+    """Headings or addresses of each document as one sentence."""
+    return [[[w for x in p for w in x]] for p in parts]
 
-def posterior(score: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
-    x = score if prior is None else score + np.log(prior + 1e-3)
-    x = np.exp(x - x.max())
-    return x / x.sum()
 
+def _blocks(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for i in range(0, len(b), BLOCK):
+        yield b.iloc[i : i + BLOCK]
 
-def _scored(lex: Lexicon, doc: list[list[str]], heads: list[list[str]]) -> tuple[list[np.ndarray | None], np.ndarray, np.ndarray | None]:
-    scores = [lex.score(t) for t in doc]
-    theta = np.zeros(lex.n)
-    for s in scores:
-        if s is not None:
-            theta += posterior(s)
-    h = lex.score([w for x in heads for w in x]) if heads else None
-    return scores, theta, None if h is None else posterior(h)
+
+def _one(parts: list, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Per document the subjects of its headings (or addresses) taken together, and whether they have any."""
+    block = Block(_whole(parts), lex)
+    p, has = np.zeros((len(parts), lex.n)), np.zeros(len(parts), dtype=bool)
+    p[block.doc[block.has]] = block.own[block.has]
+    has[block.doc[block.has]] = True
+    return p, has
 
 
 def _counts(lexicon, soft: bool):
@@ -121,33 +177,35 @@ def _counts(lexicon, soft: bool):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = Lexicon(*lexicon.value)
         at = {s: i for i, s in enumerate(lex.subjects)}
-        for b in batches:
-            n: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(lex.n + 1))
-            for doc, heads, labels in zip(b["sents"], b["heads"], b["labels"]):
-                doc = [list(s) for s in doc]
-                scores, theta, head = _scored(lex, doc, list(heads))
-                told = np.zeros(lex.n)
+        n: dict[str, np.ndarray] = {}
+        for b in (x for whole in batches for x in _blocks(whole)):
+            block = Block(b["sents"].tolist(), lex)
+            theta = block.theta()
+            head, _ = _one(b["heads"].tolist(), lex)
+            told = 0.5 * head
+            for k, labels in enumerate(b["labels"]):
                 if labels is not None:
-                    for x in labels:
-                        told[at[x]] = 2.0
-                elif head is not None:
-                    told = 0.5 * head
-                for toks, s in zip(doc, scores):
-                    if s is not None:
-                        own = posterior(s)
-                        around = theta - own + told
-                        p = (np.maximum(around, 0) + 0.1) * (own + 0.05)
-                        w = min(1.0, 0.2 + 0.4 * max(around.sum(), 0))
-                    elif soft and (theta + told).max() > 0.6 * (theta + told).sum() > 0:
-                        p, w = theta + told + 0.05, 0.3
+                    told[k] = 0.0
+                    told[k, [at[x] for x in labels]] = 2.0
+            d, has = block.doc, block.has
+            around = np.maximum(theta[d] - np.where(has[:, None], block.own, 0) + told[d], 0)
+            p = (around + 0.1) * (block.own + 0.05)
+            w = np.minimum(1.0, 0.2 + 0.4 * around.sum(axis=1))
+            lead = theta[d] + told[d]
+            led = ~has & (lead.max(axis=1) > 0.6 * lead.sum(axis=1)) & (lead.sum(axis=1) > 0) if soft else np.zeros(len(d), dtype=bool)
+            p = np.where(has[:, None], p, lead + 0.05)
+            w = np.where(has, w, np.where(led, 0.3, 0.0))
+            p = p / p.sum(axis=1, keepdims=True) * w[:, None]
+            for word, c in zip(block.vocabulary, block.by_word(np.hstack([p, w[:, None]]))):
+                if c[-1]:
+                    if word in n:
+                        n[word] += c
                     else:
-                        continue
-                    p = w * p / p.sum()
-                    for t in toks:
-                        c = n[t]
-                        c[:-1] += p
-                        c[-1] += w
-            yield pd.DataFrame({"word": list(n), "c": [v.tolist() for v in n.values()]})
+                        n[word] = c.copy()
+            if len(n) > 200_000:
+                yield pd.DataFrame({"word": list(n), "c": [v.tolist() for v in n.values()]})
+                n = {}
+        yield pd.DataFrame({"word": pd.Series(list(n), dtype="object"), "c": pd.Series([v.tolist() for v in n.values()], dtype="object")})
 
     return each
 
@@ -381,17 +439,24 @@ def _assigned(docs: DataFrame, lexicon: dict[str, np.ndarray], names: list[str])
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         L = Lexicon(*lex.value)
-        for b in batches:
-            out = []
-            for doc, source, sents, heads, links in zip(b["doc_id"], b["source"], b["sents"], b["heads"], b["links"]):
-                scores, theta, head = _scored(L, [list(s) for s in sents], list(heads))
-                link = L.score([w for x in links for w in x])
-                a = -1 if link is None else int(np.argmax(link))
-                h = -1 if head is None or head.max() < 0.5 else int(np.argmax(head))
-                t = -1 if theta.sum() == 0 else int(np.argmax(theta))
-                flat = [s.tolist() for s in scores if s is not None]
-                out.append((doc, source, t, a, h, flat))
-            yield pd.DataFrame(out, columns=["doc_id", "source", "v_lex", "v_addr", "v_head", "scores"])
+        for b in (x for whole in batches for x in _blocks(whole)):
+            block = Block(b["sents"].tolist(), L)
+            theta = block.theta()
+            head, has_head = _one(b["heads"].tolist(), L)
+            link, has_link = _one(b["links"].tolist(), L)
+            scores: list[list] = [[] for _ in range(len(b))]
+            for d, row in zip(block.doc[block.has].tolist(), block.scores[block.has].tolist()):
+                scores[d].append(row)
+            yield pd.DataFrame(
+                {
+                    "doc_id": b["doc_id"].to_numpy(),
+                    "source": b["source"].to_numpy(),
+                    "v_lex": np.where(theta.sum(axis=1) > 0, theta.argmax(axis=1), -1).astype("int32"),
+                    "v_addr": np.where(has_link, link.argmax(axis=1), -1).astype("int32"),
+                    "v_head": np.where(has_head & (head.max(axis=1) >= 0.5), head.argmax(axis=1), -1).astype("int32"),
+                    "scores": scores,
+                }
+            )
 
     voted = cut(docs.mapInPandas(votes, "doc_id long, source string, v_lex int, v_addr int, v_head int, scores array<array<double>>"))
     per = voted.where("v_lex >= 0 AND source IS NOT NULL").groupBy("source", "v_lex").count()
@@ -410,9 +475,10 @@ def _assigned(docs: DataFrame, lexicon: dict[str, np.ndarray], names: list[str])
             out = []
             for doc, scores, p in zip(b["doc_id"], b["scores"], post):
                 about = np.zeros(m.n)
-                for s in scores:
+                if len(scores):
                     # the document's subjects only decide where the words leave it open
-                    about[int(np.argmax(posterior(np.array(s), 0.5 * p + 0.5 / m.n)))] += 1
+                    best = posterior(np.array([list(s) for s in scores]), 0.5 * p + 0.5 / m.n).argmax(axis=1)
+                    np.add.at(about, best, 1)
                 if total := about.sum():
                     out += [(doc, subjects[i], about[i] / total, float(p[i]), int(total)) for i in np.nonzero(about)[0]]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "share", "probability", "k"])
