@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .leakage import Grams, _grams
-from .text import plain
+from .text import WORD, plain
 
 #: Words the lexicon may hold; a word takes about 200 bytes of a broadcast.
 LEXICON_WORDS = 200_000
@@ -127,9 +127,10 @@ class Block:
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             index = known[self.ids]
             self.scores = np.add.reduceat(lex.log[index], starts, axis=0)
-            self.has = np.add.reduceat((index >= 0).astype(np.int64), starts) > 0
+            self.known = np.add.reduceat((index >= 0).astype(np.int64), starts)
         else:
-            self.scores, self.has = np.zeros((0, lex.n)), np.zeros(0, dtype=bool)
+            self.scores, self.known = np.zeros((0, lex.n)), np.zeros(0, dtype=np.int64)
+        self.has = self.known > 0
         self.own = posterior(self.scores) if len(self.scores) else self.scores
 
     def theta(self) -> np.ndarray:
@@ -243,16 +244,25 @@ class Tongues:
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray]):
         self.langs = langs
-        self.log = {w: np.log(q + 0.01) for w, q in words.items()}
-
-    def of(self, sents: list[list[str]]) -> list[int]:
-        scores = [[self.log[w] for w in s if w in self.log] for s in sents]
-        whole = [x for s in scores for x in s]
-        doc = int(np.argmax(np.sum(whole, axis=0))) if whole else 0
-        return [int(np.argmax(np.sum(s, axis=0))) if len(s) >= 2 else doc for s in scores]
-
-    def tagged(self, sents: list[list[str]]) -> list[list[str]]:
-        return [[f"{self.langs[k]}:{w}" for w in s] for k, s in zip(self.of(sents), sents)]
+        self.words = Lexicon(langs, words)
+
+    def tagged(self, docs: list) -> list[list[list[str]]]:
+        """Documents with each word behind its sentence's language; a sentence of one known word has its document's."""
+        block = Block(docs, self.words)
+        whole = np.zeros((len(docs), len(self.langs)))
+        np.add.at(whole, block.doc, block.scores)
+        lang = np.where(block.known >= 2, block.scores.argmax(axis=1), whole.argmax(axis=1)[block.doc]).tolist() if len(block.doc) else []
+        out: list[list[list[str]]] = []
+        k = 0
+        for doc in docs:
+            sents = []
+            for sent in doc:
+                if len(sent):
+                    mark = self.langs[lang[k]] + ":"
+                    sents.append([mark + w for w in sent])
+                    k += 1
+            out.append(sents)
+        return out
 
 
 def _tongues(docs: DataFrame, max_words: int) -> tuple[list[str], dict[str, np.ndarray]]:
@@ -374,11 +384,10 @@ def subject_shares(
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = Tongues(*speak.value)
-        for b in batches:
-            b["sents"] = [t.tagged([list(s) for s in x]) for x in b["sents"]]
-            b["heads"] = [t.tagged([tokens(s) for s in x]) for x in b["heads"]]
-            b["links"] = [t.tagged([tokens(re.sub(r"https?|www", " ", s)) for s in x]) for x in b["links"]]
-            yield b
+        for b in (x for whole in batches for x in _blocks(whole)):
+            heads = [[tokens(s) for s in x] for x in b["heads"]]
+            links = [[tokens(re.sub(r"https?|www", " ", s)) for s in x] for x in b["links"]]
+            yield b.assign(sents=t.tagged(b["sents"].tolist()), heads=t.tagged(heads), links=t.tagged(links))
 
     words_of = "array<array<string>>"
     docs = cut(
@@ -404,7 +413,7 @@ def subject_shares(
     lexicon = _induced(_summed(seeds, n), names, max_words, 5.0, 0.6)
     described: dict[str, set[str]] = defaultdict(set)
     for r in subjects.where("subject IS NOT NULL").limit(1000).collect():
-        for w in Tongues(*tongues).tagged([tokens(f"{r.subject} {r.description or ''}")])[0]:
+        for w in (w for sent in Tongues(*tongues).tagged([[tokens(f"{r.subject} {r.description or ''}")]])[0] for w in sent):
             described[w].add(r.subject)
     for w, s in described.items():
         if len(s) == 1:
@@ -420,16 +429,14 @@ def subject_shares(
 
 def _without(g: Grams, body: list[str]) -> list[str]:
     """The sentences that hold no word of an evaluation passage."""
-    from .text import words
-
     found: list[str] = []
     of: list[int] = []
     for k, s in enumerate(body):
-        w = words(s)
+        w = WORD.findall(s.casefold())  # markup is gone from sentences already
         found += w
         of += [k] * len(w)
     gone = {of[j] for i, _ in g.hits(found) for j in range(i, i + g.n)}
-    return [s for k, s in enumerate(body) if k not in gone]
+    return [s for k, s in enumerate(body) if k not in gone] if gone else body
 
 
 def _assigned(docs: DataFrame, lexicon: dict[str, np.ndarray], names: list[str]) -> DataFrame:
