@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIB = 1024 * 1024
-#: White space as the reference's runtime trims it, byte-order mark included.
+#: Unicode white space and the byte-order mark.
 TRIM = r"^[\s   -     　﻿]+|[\s   -     　﻿]+$"
 
 
@@ -207,3 +207,16 @@ def lead_paragraph(text: Column) -> Column:
     body = F.regexp_extract(text, r"(?s)(?:\A|\n)# [^\n]*\n(.*)\z", 1)
     first = F.try_element_at(F.filter(F.split(body, r"\n\s*\n"), lambda p: F.trim(p) != ""), F.lit(1))
     return F.when(~F.coalesce(first, F.lit("#")).rlike(r"^\s*(#|```)"), F.regexp_replace(trimmed(first), r"\s*\n\s*", " "))
+
+
+# fixed values: error names that are told as they are
+ERROR_NAMES = ("TypeError", "ReferenceError", "RangeError", "SyntaxError", "SecurityError", "NetworkError", "AbortError", "QuotaExceededError", "NotFoundError", "DataCloneError")
+
+
+def error_kind(message: Column, name: Column) -> Column:
+    """``chunk`` for a script that didn't load, ``foreign`` for another origin's, a known name, or ``other``."""
+    m = F.coalesce(message, F.lit(""))
+    return (
+        F.when(m.rlike(r"(?i)loading (?:css )?chunk|dynamically imported module|importing a module script failed|error loading dynamically"), "chunk")
+        .when(F.trim(m) == "Script error.", "foreign").when(name.isin(*ERROR_NAMES), F.lower(name)).otherwise("other")
+    )

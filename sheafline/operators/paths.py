@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -298,3 +299,13 @@ def tree(paths: Sequence[str]) -> str:
 
     draw(root, "")
     return "\n".join(lines)
+
+
+def trees(files: DataFrame, by: str, path: str = "path", order: str = "ord") -> DataFrame:
+    """``(by, tree)``: the drawing of each bundle (B1); a drawing is one text, so a bundle's paths meet in one row."""
+    @F.pandas_udf("string")
+    def drawn(paths: pd.Series) -> pd.Series:
+        return pd.Series([tree(list(p)) for p in paths], dtype="object")
+
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, path))), lambda s: s[path])
+    return files.groupBy(by).agg(listed.alias("__p")).select(by, drawn("__p").alias("tree"))

@@ -155,7 +155,7 @@ SELECT e.page, e.name, e.value, CASE WHEN e.run BETWEEN 0 AND 1000 THEN e.run EN
 FROM e JOIN g ON e.page = g.page AND e.k = g.k
 WHERE e.name IN {_WIRE_NAMES} AND (e.value IS NULL OR regexp_full_match(e.value, '[a-z0-9._/+-]{{1,32}}')) AND (e.value IS NOT NULL OR e.n BETWEEN 0 AND 1000000000000 OR e.b BETWEEN 0 AND 1000000000000)
 """)
-def p14_admitted(spark, d):
+def admitted_events(spark, d):
     """The table posted again in batches of a page's neighbouring events."""
     e = _events(spark, d).where("id IS NOT NULL")
     wire = F.struct(F.col("name").alias("n"), F.col("value").alias("v"), F.col("n").cast("string").alias("q"), F.col("b").cast("string").alias("b"), F.col("run").cast("string").alias("r"))
@@ -190,7 +190,7 @@ _IGNORE = "|".join(f"(?:{paths.path_regex(p)})" for p in paths.DEFAULT_IGNORE)
 
 
 @query(f"SELECT file_id, path, coalesce(regexp_matches(path, '{_IGNORE}'), false) AS noise FROM output_files")
-def p4_noise(spark, d):
+def noise_paths(spark, d):
     """P1-P4."""
     return _files(spark, d).select("file_id", "path", paths.is_noise(F.col("path")).alias("noise"))
 
@@ -198,7 +198,7 @@ def p4_noise(spark, d):
 @query(r"""
 SELECT file_id, regexp_matches(path, '^(?:.*/)?src/[^/]*\.(?:ts|js)$|^(?:.*/)?Dockerfile(?:/.*)?$|^(?:.*/)?[^/]*\.tf(?:/.*)?$') AS chosen FROM output_files
 """)
-def p2_glob(spark, d):
+def globs(spark, d):
     """Slashed, bare and braced patterns."""
     return _files(spark, d).select("file_id", paths.path_matches(F.col("path"), ["src/*.{ts,js}", "Dockerfile", "*.tf"]).alias("chosen"))
 
@@ -206,7 +206,7 @@ def p2_glob(spark, d):
 @query(r"""
 SELECT file_id, CASE WHEN regexp_matches(path, '^src/(?:.*/)?keep[^/]*(?:/.*)?$') THEN false WHEN regexp_matches(path, '^(?:.*/)?[^/]*\.java(?:/.*)?$|^(?:src/)(?:.*/)?[^/]*\.c(?:/.*)?$|^docs/.+$') THEN true ELSE false END AS ignored FROM output_files
 """)
-def p6_gitignore(spark, d):
+def gitignored(spark, d):
     """Nested ignore files, the last word wins."""
     rules = paths.ignore_rules([("", "# comment\n*.java\n/docs/\n"), ("src", "*.c\n!keep*\n")])
     return _files(spark, d).select("file_id", paths.ignored(F.col("path"), rules).alias("ignored"))
@@ -300,7 +300,7 @@ FROM (SELECT *, CASE WHEN s = '' THEN 0 ELSE (length(s) - length(regexp_replace(
 
 
 @query(f"SELECT file_id, reason, included, why FROM {_DECIDED}")
-def p7_decisions(spark, d):
+def decisions(spark, d):
     """P7-P11, R4-R6, J3."""
     return _decided(spark, d).select("file_id", "reason", "included", "why")
 
@@ -626,3 +626,80 @@ def e15_undecodable(spark, d):
     from ..operators import extract
 
     return extract.undecodable(_files(spark, d).where(F.col("content").contains("# Page ")), "file_id", "content").select("file_id", "lost", "pages")
+
+
+# -- more of the inventory -----------------------------------------------------------------------------
+
+
+@query()
+def b1_trees(spark, d):
+    """B1."""
+    return paths.trees(_files(spark, d), "bundle_id")
+
+
+@query("SELECT page, value FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ts, id) AS k FROM usage_events WHERE name = 'entry_surface') WHERE k = 1")
+def t4_first_surface(spark, d):
+    """T4 as a batch: the first surface of each page."""
+    e = _events(spark, d).where("name = 'entry_surface'").select("page", "value", "ts", "id")
+    return catalog.winners(e, ["page"], [F.col("ts"), F.col("id")]).select("page", "value")
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN contains(t, q) THEN 0 WHEN near <= greatest(2, floor(length(q) * 0.4)) THEN CAST(near + 2 AS INTEGER) END AS score
+FROM (SELECT doc_id, q, t, list_min(list_transform(string_split_regex(t, '[-.]'), lambda w: levenshtein(w, q))) AS near FROM (SELECT doc_id, 'window' AS q, {_CANON.format('source')} AS t FROM documents WHERE source IS NOT NULL))
+""")
+def c9_fuzzy(spark, d):
+    """C9."""
+    docs = table(spark, d, "documents").where("source IS NOT NULL")
+    return docs.select("doc_id", S.fuzzy_score(F.lit("Window"), F.col("source")).alias("score"))
+
+
+@query("SELECT coalesce(value, '(none)') AS value, count(*) AS n FROM usage_events WHERE name = 'js_error' GROUP BY 1")
+def g20_histogram(spark, d):
+    """G20."""
+    return _events(spark, d).where("name = 'js_error'").groupBy(F.coalesce("value", F.lit("(none)")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT bundle_id, CAST(sum(strlen(coalesce(content, ''))) AS BIGINT) AS bytes, count(DISTINCT ord // 10) AS parts, CAST(ceil(sum(strlen(coalesce(content, ''))) / count(DISTINCT ord // 10)) AS BIGINT) AS average FROM output_files GROUP BY bundle_id")
+def g21_part_sizes(spark, d):
+    """G21, C10."""
+    return bundles.part_sizes(_files(spark, d).withColumn("part", F.expr("ord div 10")))
+
+
+@query("""
+SELECT email_id FROM emails WHERE regexp_matches(subject, '(?i)report|notes on') AND NOT regexp_matches(subject, '(?i)archive|^re:') AND received_at >= TIMESTAMP '2026-01-01'
+""")
+def relevant_threads(spark, d):
+    """P17."""
+    e = table(spark, d, "emails")
+    return clips.relevant_threads(e, "subject", "report|notes on", "archive|^re:", F.lit("2026-01-01").cast("timestamp_ntz"), "received_at").select("email_id")
+
+
+@query("""
+SELECT value, count(*) AS impressions, count(*) FILTER (b IS NOT NULL) AS clicks FROM usage_events WHERE value IS NOT NULL GROUP BY value HAVING count(*) >= 15 AND count(*) FILTER (b IS NOT NULL) < 0.02 * count(*)
+""")
+def seldom_taken(spark, d):
+    """Much seen, hardly taken."""
+    per = _events(spark, d).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("impressions"), F.count("b").alias("clicks"))
+    return per.where((F.col("impressions") >= 15) & (F.col("clicks") < 0.02 * F.col("impressions")))
+
+
+@query("""
+SELECT file_id, CASE WHEN size_bytes = 0 THEN '0 Bytes' ELSE regexp_replace(printf('%.2f', round(size_bytes / pow(1024, e), 2)), '\\.?0+$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB'][e + 1] END AS size
+FROM (SELECT file_id, size_bytes, CAST(CASE WHEN size_bytes >= 1073741824 THEN 3 WHEN size_bytes >= 1048576 THEN 2 WHEN size_bytes >= 1024 THEN 1 ELSE 0 END AS INTEGER) AS e FROM output_files WHERE size_bytes IS NOT NULL)
+""")
+def c6_sizes(spark, d):
+    """C6."""
+    return _files(spark, d).where("size_bytes IS NOT NULL").select("file_id", S.format_size(F.col("size_bytes")).alias("size"))
+
+
+@query("""
+SELECT bundle_id, CAST(count(*) AS BIGINT) AS n, md5(string_agg(path || ':' || s, '|' ORDER BY ord, path)) AS digest FROM
+ (SELECT bundle_id, ord, path, CASE WHEN contains(lower(path), 'docker') THEN 'a' WHEN path LIKE '%.py' THEN 'b' ELSE 'c' END AS s FROM output_files) GROUP BY bundle_id
+""")
+def j11_patterns(spark, d):
+    """Every path against a list of patterns, the first that matches wins."""
+    p = F.col("path")
+    first = F.when(F.contains(F.lower(p), F.lit("docker")), "a").when(paths.path_matches(F.element_at(F.split(p, "/"), -1), ["*.py"]), "b").otherwise("c")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", first.alias("s")))), lambda x: F.concat(x["path"], F.lit(":"), x["s"]))
+    return _files(spark, d).groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(said, "|").cast("binary")).alias("digest"))
