@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .quantiles import bisect_counts
+
 DAY = 86_400
 RETENTION_DAYS = 180
 UNREAD = ("unreadable_ext", "extract_failed", "archive_unsupported")
@@ -52,13 +54,12 @@ def formats(events: DataFrame, start: int | None = None) -> DataFrame:
 def floor_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """``n, p50, p90, max`` per group, the percentile at index ``floor((n - 1) * p)``.
 
-    Ranks come from counts of equal values, so a group is never collected.
+    By bisection over counts of equal values: no group is collected or sorted in one task.
     """
-    c = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by).orderBy(value)
-    c = c.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
-    at = lambda p: F.min(F.when(F.floor((F.col("n") - 1) * p) < F.col("upto"), F.col(value)))
-    return c.groupBy(by).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max(value).alias("max"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("grp"), F.lit("v").alias("metric"), F.col(value).cast("long").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    found = bisect_counts(counts, (0.5, 0.9, 1.0), levels=16)
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+    return found.groupBy(F.col("grp").alias(by)).agg(F.max("n_rows").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(1.0).alias("max"))
 
 
 def sizes(events: DataFrame, start: int | None = None) -> DataFrame:
@@ -98,11 +99,21 @@ def retained(events: DataFrame, now: int, days: int = RETENTION_DAYS) -> DataFra
 
 
 def tally(rows: DataFrame, by: list[str], key: str, n: str, b: str, order: str, cap: int = 25, other: str = "other") -> DataFrame:
-    """Per group the ``cap`` largest keys, the rest summed as ``other`` (G2); sums are kept whole."""
+    """Per group the ``cap`` largest keys, the rest summed as ``other`` (G2); sums are kept whole.
+
+    The rank is a filter, so each task keeps ``cap`` keys of a group before they are
+    shuffled; the rest is the group's total less what was kept.
+    """
     per = rows.groupBy(*by, key).agg(F.sum(n).alias("n"), F.sum(b).alias("b"), F.min(order).alias("__o"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc_nulls_last(), "__o", key))
-    folded = per.withColumn(key, F.when(rank <= cap, F.col(key)).otherwise(other))
-    return folded.groupBy(*by, key).agg(F.sum("n").alias("n"), F.when(F.sum("b") != 0, F.sum("b")).alias("b"))
+    top = per.withColumn("__r", rank).where(F.col("__r") <= cap).select(*by, key, "n", "b")
+    signed = per.select(*by, "n", "b", F.lit(1).alias("k")).unionByName(top.select(*by, (-F.col("n")).alias("n"), (-F.col("b")).alias("b"), F.lit(-1).alias("k")))
+    # a column is null in the rest only if it is null in every row of it
+    held = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("k"))) > 0
+    rest = signed.groupBy(*by).agg(F.sum("k").alias("k"), F.when(held("n"), F.sum("n")).alias("n"), F.when(held("b"), F.sum("b")).alias("b")).where("k > 0")
+    out = top.unionByName(rest.select(*by, F.lit(other).alias(key), "n", "b"))
+    # the data may hold the folded name itself
+    return out.groupBy(*by, key).agg(F.sum("n").alias("n"), F.when(F.sum("b") != 0, F.sum("b")).alias("b"))
 
 
 def conversion(funnel_rows: DataFrame) -> DataFrame:
