@@ -117,19 +117,28 @@ def leaked(
     return out.distinct()
 
 
-_BUILT: list = []
+_BUILT: dict[int, tuple] = {}
 
 
 def _grams(table) -> Grams:
     """The hash table of a broadcast, built once per Python worker (string hashes differ between workers)."""
     value = table.value
-    if not _BUILT or _BUILT[0] is not value:
+    held = _BUILT.get(id(value))
+    if held is None or held[0] is not value:
         paragraphs, n, shared = value
         g = Grams([], n, shared)
         g.paragraphs = paragraphs
         g.index()
-        _BUILT[:] = [value, g]
-    return _BUILT[1]
+        while len(_BUILT) >= 8:
+            _BUILT.pop(next(iter(_BUILT)))
+        held = _BUILT[id(value)] = (value, g)
+    return held[1]
+
+
+def passages(items: DataFrame, n: int = 8, shared: int = 10, item_col: str = "item_id", text_col: str = "text") -> list:
+    """Broadcast tables of the items' passages, for :func:`_grams`."""
+    sc = items.sparkSession.sparkContext
+    return [sc.broadcast((g.paragraphs, n, shared)) for g in _pieces(items, item_col, text_col, n, shared)]
 
 
 def without_leaks(

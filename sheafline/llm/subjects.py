@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .leakage import Grams, _grams
+from .leakage import Grams, _grams, passages
 from .text import WORD, plain
 
 #: Words the lexicon may hold; a word takes about 200 bytes of a broadcast.
@@ -353,20 +353,15 @@ def subject_shares(
     out_schema = "doc_id long, subject string, share double, probability double"
     if not n:
         return spark.createDataFrame([], out_schema)
-    grams = None
-    if items is not None:
-        rows = items.select("item_id", "text").where("text IS NOT NULL").collect()
-        g = Grams([(r.item_id, r.text) for r in rows], 8, 10)
-        grams = sc.broadcast((g.paragraphs, 8, 10))
+    tables = passages(items) if items is not None else []
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = _grams(grams) if grams is not None else None
         for b in batches:
             out = []
             for doc, source, lang, text in zip(b["doc_id"], b["source"], b["lang"], b["text"]):
                 body, heads, links = sentences(text)
-                if g is not None:
-                    body = _without(g, body)
+                for t in tables:
+                    body = _without(_grams(t), body)
                 out.append((doc, source, lang, [tokens(s) for s in body], heads, links))
             yield pd.DataFrame(out, columns=["doc_id", "source", "lang", "sents", "heads", "links"])
 
