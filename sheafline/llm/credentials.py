@@ -43,8 +43,18 @@ _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://([^\s:/@\"'`]*):([^\s@\"'`]{1
 _PARAM = re.compile(r"[?&](?:[\w.-]*(?:token|key|secret|password|passwd|pwd|auth|signature|sig))=([^&\s\"'`#]{8,})", re.I)
 _HEADER = re.compile(r"\b(?:proxy-)?authorization[\"']?\s*[:=,]\s*[\"']?(bearer|basic|token|apikey|digest)\s+([^\s\"'`,;]+)|\bx-(?:api-key|auth-token|access-token|amz-security-token|vault-token)[\"']?\s*[:=,]\s*[\"']?([^\s\"'`,;]+)", re.I)
 _LOGIN = re.compile(r"\bmachine\s+\S+\s+login\s+\S+\s+pass(?:wd|word)\s+(\S+)|^\s*pass(?:wd|word)\s+(\S+)\s*$", re.I)
+#: Statements and commands that take a password as they are.
+_GIVEN = re.compile(
+    r"\bidentified\s+(?:with\s+\S+\s+)?by\s+(?:password\s+)?(?P<q1>['\"])(?P<v1>[^'\"\n]+)(?P=q1)|\b(?:with|user|role)\b[^;\n]*?\bpassword\s+(?P<q2>['\"])(?P<v2>[^'\"\n]+)(?P=q2)|"
+    r"\b(?:mysql|mysqldump|mysqladmin|mariadb|mongo|mongosh|mongodump)\b[^|;\n]*?\s(?:-p(?!\w*\s*=)|--password[= ])(?P<q3>['\"]?)(?P<v3>[^\s'\"|;<>-][^\s'\"|;<>]*)(?P=q3)|"
+    r"\bsshpass\s+-p\s*(?P<q4>['\"]?)(?P<v4>[^\s'\"]+)(?P=q4)|\bredis-cli\b[^|;\n]*?\s-a\s+(?P<q5>['\"]?)(?P<v5>[^\s'\"]+)(?P=q5)|\bcurl\b[^|;\n]*?\s(?:-u|--user)[ =](?P<q6>['\"]?)[^\s:'\"]+:(?P<v6>[^\s'\"]+)(?P=q6)",
+    re.I,
+)
+#: A login told in words: as whom, and with what.
+_TOLD = re.compile(r"\b(?:log(?:ged)?|sign(?:ed)?)[ -]?(?:in|on)\s+(?:as|with)\s+[`\"']?[^\s`\"']+[`\"']?\s+(?:with|and|using|/)\s+(?:(?:the )?(?:password|passphrase|secret)\s+)?([`\"'])([^`\"'\n]{4,80})\1", re.I)
+_GIVEN_HINT = re.compile(r"identified|mysql|mariadb|mongo|sshpass|redis-cli|curl |password")
 #: Cheap test, on lower-cased text, of the lines that are looked at at all.
-_HINT = re.compile(r"pass|pwd|_pw|secret|token|key|cred|auth|seed|://|akia|asia|gh[pousr]_|github_pat|glpat-|npm_|aiza|xox|_live_|_prod_|eyj|hf_|pypi-|sk-|sg\.|[^a-z]pw[^a-z]")
+_HINT = re.compile(r"identified|mysql|mariadb|mongo|sshpass|redis-cli|curl |log ?in |logged|sign ?in |pass|pwd|_pw|secret|token|key|cred|auth|seed|://|akia|asia|gh[pousr]_|github_pat|glpat-|npm_|aiza|xox|_live_|_prod_|eyj|hf_|pypi-|sk-|sg\.|[^a-z]pw[^a-z]")
 _NAMES = re.compile(r"pass|pwd|pw(?![a-z])|secret|token|key|cred|auth|seed", re.I)
 _PIECES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -344,6 +354,12 @@ def scan(path: str, text: str, layers: int = LAYERS) -> Iterator[Finding]:
             if v and not placeholder(value := v["v"] or v["w"] or "") and _grants(value, name_strength(m[1])):
                 k = "v" if v["v"] is not None else "w"
                 yield Finding(v.start(k), v.end(k), "assigned", ((v.start(k), v.end(k)),))
+        for m in _GIVEN.finditer(line) if _GIVEN_HINT.search(lowered) else ():
+            k = next(g for g in ("v1", "v2", "v3", "v4", "v5", "v6") if m[g] is not None)
+            if not placeholder(m[k]):
+                yield Finding(s + m.start(k), s + m.end(k), "login", ((s + m.start(k), s + m.end(k)),))
+        if "in" in lowered and (m := _TOLD.search(line)) and not placeholder(m[2]) and len(m[2]) >= 6:
+            yield Finding(s + m.start(2), s + m.end(2), "login", ((s + m.start(2), s + m.end(2)),))
         done = -1
         for m in _NAMES.finditer(line):
             if m.start() < done:

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut
 from .leakage import Grams, _grams, passages
@@ -499,5 +500,5 @@ def subjects_of(shares: DataFrame, least: float = 0.25) -> DataFrame:
 def composition(shares: DataFrame, least: float = 0.25) -> DataFrame:
     """Per subject ``n_docs`` and its ``share`` of all assignments."""
     per = subjects_of(shares, least).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"))
-    whole = per.agg(F.sum("n_docs").alias("t"))
-    return per.join(F.broadcast(whole), how="cross").select("subject", "n_docs", (F.col("n_docs") / F.col("t")).alias("share"))
+    # one row a subject, so the total over all of them is a small sum
+    return per.withColumn("share", F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy()))
