@@ -220,3 +220,38 @@ def error_kind(message: Column, name: Column) -> Column:
         F.when(m.rlike(r"(?i)loading (?:css )?chunk|dynamically imported module|importing a module script failed|error loading dynamically"), "chunk")
         .when(F.trim(m) == "Script error.", "foreign").when(name.isin(*ERROR_NAMES), F.lower(name)).otherwise("other")
     )
+
+
+# fixed values: recognition model of a locale
+RECOGNITION_MODELS = {
+    "af": "afr", "ar": "ara", "az": "aze", "be": "bel", "bg": "bul", "bn": "ben", "bs": "bos", "ca": "cat", "cs": "ces", "cy": "cym", "da": "dan", "de": "deu", "el": "ell", "en": "eng", "es": "spa", "et": "est",
+    "eu": "eus", "fa": "fas", "fi": "fin", "fr": "fra", "ga": "gle", "gl": "glg", "he": "heb", "hi": "hin", "hr": "hrv", "hu": "hun", "hy": "hye", "id": "ind", "is": "isl", "it": "ita", "ja": "jpn", "ka": "kat",
+    "kk": "kaz", "ko": "kor", "lt": "lit", "lv": "lav", "mk": "mkd", "ms": "msa", "mt": "mlt", "nb": "nor", "nl": "nld", "nn": "nor", "no": "nor", "pl": "pol", "pt": "por", "ro": "ron", "ru": "rus", "sk": "slk",
+    "sl": "slv", "sq": "sqi", "sr": "srp", "sv": "swe", "sw": "swa", "ta": "tam", "te": "tel", "th": "tha", "tr": "tur", "uk": "ukr", "ur": "urd", "vi": "vie", "zh": "chi_sim", "zh-hant": "chi_tra", "zh-tw": "chi_tra",
+    "zh-hk": "chi_tra", "zh-mo": "chi_tra",
+}
+# fixed values: fence language of a file fetched by its address
+URL_LANGUAGES = {
+    ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".py": "python", ".rb": "ruby", ".go": "go", ".rs": "rust", ".java": "java", ".kt": "kotlin", ".swift": "swift", ".c": "c", ".cpp": "cpp",
+    ".h": "c", ".hpp": "cpp", ".cs": "csharp", ".php": "php", ".sh": "bash", ".bash": "bash", ".zsh": "bash", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".xml": "xml", ".html": "html", ".css": "css", ".scss": "scss",
+    ".less": "less", ".md": "markdown", ".sql": "sql", ".graphql": "graphql", ".vue": "vue", ".svelte": "svelte",
+}
+
+
+def recognition_model(locales: Column) -> Column:
+    """The model of the first locale that has one, by its longest known prefix; English without."""
+    table = F.create_map(*(F.lit(x) for kv in RECOGNITION_MODELS.items() for x in kv))
+
+    def model(tag: Column) -> Column:
+        parts = F.split(F.lower(tag), "-")
+        by_length = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.try_element_at(table, F.array_join(F.slice(parts, 1, n), "-")))
+        return F.try_element_at(F.array_compact(by_length), F.lit(1))
+
+    tags = F.filter(locales, lambda t: t.isNotNull() & (t != ""))
+    return F.coalesce(F.try_element_at(F.array_compact(F.transform(tags, model)), F.lit(1)), F.lit("eng"))
+
+
+def url_language(name: Column) -> Column:
+    """Fence language of a fetched file by its ending, ``text`` without."""
+    table = F.create_map(*(F.lit(x) for kv in URL_LANGUAGES.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))), F.lit("text"))

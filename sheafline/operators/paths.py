@@ -17,6 +17,15 @@ DEFAULT_IGNORE = (
     "DerivedData xcuserdata .dart_tool .godot .import *.uid *.import .terraform _build .stack-work dist-newstyle .svelte-kit .astro .angular .docusaurus .pnp.js .pnp.cjs tsconfig.tsbuildinfo .env .env.* "
     "*.min.js *.min.css *.map *.gen.* *.generated.* *.snap *.tfstate *.tfstate.backup"
 ).split()
+# fixed values: named pairs of patterns to include and to ignore; none of its own means the default noise
+PRESETS = {
+    "everything": ("", None), "source": ("src/**/*", "**/*.test.*, **/*.spec.*, **/__tests__"),
+    "react": ("**/*.tsx, **/*.ts, **/*.jsx, **/*.js, **/*.css, **/*.json", "node_modules, .next, dist, build, coverage, **/*.test.*, **/*.spec.*, **/__tests__"),
+    "vue": ("**/*.vue, **/*.ts, **/*.js, **/*.css, **/*.json", "node_modules, dist, .nuxt, coverage, **/*.test.*, **/*.spec.*"),
+    "python": ("**/*.py, **/*.pyi, **/*.toml, **/*.yaml, **/*.yml, **/*.json", "__pycache__, .venv, venv, .pytest_cache, dist, build, *.egg-info, **/*_test.py"),
+    "go": ("**/*.go, **/*.mod, **/*.sum, **/*.yaml, **/*.yml", "vendor, bin, **/*_test.go"), "rust": ("**/*.rs, **/*.toml, **/*.md", "target, **/*_test.rs"),
+    "documents": ("**/*.pdf, **/*.docx, **/*.xlsx, **/*.pptx, **/*.odt, **/*.md, **/*.txt, **/*.rtf", None), "notes": ("**/*.md, **/*.mdx, **/*.txt, **/*.rst", None), "papers": ("**/*.pdf", None),
+}
 # fixed values: fence language of a file extension, where it isn't the extension itself
 LANGUAGES = {
     "ts": "typescript", "js": "javascript", "py": "python", "rb": "ruby", "cs": "csharp", "rs": "rust", "kt": "kotlin", "sh": "bash", "ps1": "powershell", "yml": "yaml", "cfg": "ini", "md": "markdown",
@@ -123,6 +132,12 @@ def path_matches(path: Column, patterns: str | Sequence[str]) -> Column:
     return F.coalesce(path.rlike("|".join(f"(?:{path_regex(p)})" for p in ps)) & (path != ""), F.lit(False))
 
 
+def preset(name: str) -> tuple[str, str]:
+    """Patterns to include and to ignore of a named preset."""
+    include, ignore = PRESETS[name]
+    return include, ", ".join(DEFAULT_IGNORE) if ignore is None else ignore
+
+
 def is_noise(path: Column) -> Column:
     return path_matches(path, DEFAULT_IGNORE)
 

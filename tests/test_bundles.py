@@ -126,3 +126,31 @@ def test_push(spark):
     rows = [(1, "a/b.md", "x"), (2, "a/../b.md", "x"), (2, "ok.md", "x"), (3, "c.md", "x" * 30)]
     df = spark.createDataFrame(rows, "batch long, path string, markdown string")
     assert {r.batch for r in L.admitted_push(df, "batch", max_chars=20).collect()} == {1}
+
+
+def test_tables_of_languages(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    model = lambda *tags: one(S.recognition_model(F.array(*(F.lit(t) for t in tags)).cast("array<string>")))
+    assert [model("zh-Hant-TW"), model("xx", "pt-BR"), model("", "xx"), model(), model("nb")] == ["chi_tra", "por", "eng", "eng", "nor"]
+    assert [one(S.url_language(F.lit(n))) for n in ("a.tsx", "b", "c.unknown", "x.H")] == ["typescript", "text", "text", "c"]
+    assert [one(S.error_kind(F.lit(m), F.lit(n))) for m, n in (("Loading chunk 3 failed", "x"), ("Script error.", None), ("m", "TypeError"), (None, "Odd"))] == ["chunk", "foreign", "typeerror", "other"]
+
+
+def test_written_bundles(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, 0, "a.py", "x", 1, None), (2, 2, 0, "b.md", "y", 1, None)], FILES)
+    b = B.assembled(df, "plain")
+    B.write_bundles(b, str(tmp_path / "out"))
+    texts = {r.bundle_id: r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
+    assert texts[1].startswith("Codebase: project") and "FILE: b.md" in texts[2]
+    import json
+
+    assert {json.loads(r.value)["style"] for r in B.run_summary(b.drop("bundle"), "plain").collect()} == {"plain"}
+
+
+def test_presets(spark):
+    from sheafline.operators import paths as P
+
+    include, ignore = P.preset("python")
+    rows = spark.createDataFrame([("a/b.py",), ("a/b_test.py",), ("a.js",), ("venv/x.py",)], "path string").withColumn("ord", F.lit(0))
+    assert [r.path for r in I.decisions(rows, include, ignore).where("included").collect()] == ["a/b.py"]
+    assert P.preset("papers")[1].startswith(".git, ") and len(P.PRESETS) == 10
