@@ -19,6 +19,7 @@ RECOGNISABLE = ("png", "jpeg", "gif", "tiff", "webp")
 # fixed values: parser of a document format, and what is an archive
 PARSERS = {**dict.fromkeys("pdf docx xlsx pptx odt ods odp rtf".split(), "office"), "epub": "epub", "ipynb": "notebook", "srt": "subtitles", "vtt": "subtitles", "eml": "email"}
 ARCHIVES = ("zip", "tar", "gz", "tar.gz", "rar", "7z")
+# fixed values: characters that text rarely holds
 SUSPICIOUS = r"[\x00-\x08\x0B\x0E-\x1F�]"
 
 
@@ -82,6 +83,7 @@ def validation(path: Column, kind: Column) -> Column:
 
 # -- text-shaped formats -----------------------------------------------------------------------
 
+# fixed values: how a subtitle cue and a notebook begin, and headers only mail carries
 _SRT = r"^﻿?\s*\d{1,6}[ \t]*\r?\n[ \t]*\d{1,3}:\d{2}:\d{2}[.,]\d{1,3}[ \t]*-->[ \t]*\d{1,3}:\d{2}:\d{2}[.,]\d{1,3}"
 _CELLS = r'^﻿?\s*\{[\s\S]{0,2048}?"cells"\s*:\s*\['
 ENVELOPE = ("received", "message-id", "mime-version", "return-path", "delivered-to")

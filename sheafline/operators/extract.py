@@ -74,6 +74,7 @@ def notebook(b: bytes) -> Result:
 
 # -- captions (E3) ----------------------------------------------------------------------------
 
+# fixed values: markup of captions, and the references they define
 _VOICE = re.compile(r"<v(?:\.[^\s>]+)*\s+([^>]+)>")
 _MARKUP = re.compile(r"<[^>]*>|\{\\[^}]*\}")
 _CAPTION_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "nbsp": " ", "lrm": "", "rlm": ""}
@@ -85,6 +86,7 @@ def caption_line(line: str) -> str:
     return re.sub(r"\s+", " ", line).strip()
 
 
+# fixed values: first words of caption blocks without speech
 _METADATA = re.compile(r"\s*(?:WEBVTT|NOTE|STYLE|REGION)\b")
 #: A timing line and the identifier that may stand directly above it.
 _SCAFFOLD = re.compile(r"^(?:[^\n]*\S[^\n]*\n)?[^\n]*-->[^\n]*$", re.M)
@@ -100,6 +102,7 @@ def subtitles(b: bytes) -> Result:
 
 # -- mail (E4, E5) ----------------------------------------------------------------------------
 
+# fixed values: tags that end a line of HTML mail, and the entities it is decoded with
 _BLOCK = re.compile(r"</?(?:p|div|br|tr|li|h[1-6]|blockquote|table)\b[^>]*>", re.I)
 _NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " "}
 

@@ -11,6 +11,7 @@ from .quantiles import bisect_counts
 
 DAY = 86_400
 RETENTION_DAYS = 180
+# fixed values: counters of files that could not be read
 UNREAD = ("unreadable_ext", "extract_failed", "archive_unsupported")
 #: Distributions of the size report: label, counter, column.
 SIZES = (("files per drop", "batch_size", "n"), ("bytes per drop", "batch_size", "b"), ("bundle bytes", "bundle_size", "b"), ("largest file", "max_file_bytes", "b"), ("ingest ms", "ingest_ms", "n"))
@@ -124,6 +125,7 @@ def conversion(funnel_rows: DataFrame) -> DataFrame:
 
 # -- admission (P14) ------------------------------------------------------------------------------
 
+# fixed values: bounds of a posted batch
 MAX_EVENTS, MAX_BYTES, MAX_AMOUNT, MAX_RUN = 50, 16 * 1024, 10**12, 1000
 WIRE = T.StructType([T.StructField("s", T.StringType()), T.StructField("e", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("n", "v", "q", "b", "r")])))])
 
