@@ -39,6 +39,7 @@ TOKENS = re.compile(
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|(?<=\\n)[A-Za-z0-9+/]+={0,2}(?=\\n)")
+_FILLED = re.compile(r"[^\n]")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://([^\s:/@\"'`]*):([^\s@\"'`]{1,200})@(?=[\w\[])")
 _PARAM = re.compile(r"[?&](?:[\w.-]*(?:token|key|secret|password|passwd|pwd|auth|signature|sig))=([^&\s\"'`#]{8,})", re.I)
 _HEADER = re.compile(r"\b(?:proxy-)?authorization[\"']?\s*[:=,]\s*[\"']?(bearer|basic|token|apikey|digest)\s+([^\s\"'`,;]+)|\bx-(?:api-key|auth-token|access-token|amz-security-token|vault-token)[\"']?\s*[:=,]\s*[\"']?([^\s\"'`,;]+)", re.I)
@@ -307,13 +308,31 @@ def _grants(v: str, strength: int) -> bool:
     return random_looking(v) or _basic(v)
 
 
+def _key_end(text: str, at: int) -> int:
+    """Where the key that begins before ``at`` ends: at its END marker, or, without one, behind its last line in a row."""
+    stop, other = _END.search(text, at), _BEGIN.search(text, at)
+    limit = other.start() if other else len(text)
+    if stop and stop.start() < limit:
+        return stop.start()
+    end, body = at, False
+    while end < limit:
+        e = text.find("\n", end)
+        e = limit if e < 0 else min(e, limit)
+        if _BODY.search(text, end, e):
+            body = True
+        elif body:
+            break
+        end = e + 1
+    return min(end, limit)
+
+
 def scan(path: str, text: str, layers: int = LAYERS) -> Iterator[Finding]:
     """Every credential of a file; findings may overlap."""
     bare_ok = _config(path) if path else True
     low = text.lower()
     if len(low) != len(text):  # lower-casing changed positions
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    at, n = 0, len(text)
+    at, n, whole = 0, len(text), text
     while hit := _HINT.search(low, at):
         s = low.rfind("\n", 0, hit.start()) + 1
         e = low.find("\n", hit.start())
@@ -322,14 +341,16 @@ def scan(path: str, text: str, layers: int = LAYERS) -> Iterator[Finding]:
         at = e + 1
         for m in TOKENS.finditer(line):
             yield Finding(s + m.start(), s + m.end(), "token", ((s + m.start(), s + m.end()),))
-        if "PRIVATE KEY" in line and (m := _BEGIN.search(line)):
-            stop = _END.search(text, s + m.end())
-            limit = min(stop.start() if stop else n, s + m.end() + 20_000)
-            spans = tuple((b.start(), b.end()) for b in _BODY.finditer(text, s + m.end(), limit))
+        for m in _BEGIN.finditer(line) if "PRIVATE KEY" in line else ():
+            start = s + m.end()
+            limit = _key_end(text, start)
+            spans = tuple((b.start(), b.end()) for b in _BODY.finditer(text, start, limit))
             if sum(z - a for a, z in spans) >= 40:
                 yield Finding(s + m.start(), limit, "private key", spans)
-                at = max(at, low.rfind("\n", 0, limit) + 1)
-                continue
+                # what stands before and behind the key is scanned like any other text
+                blank = _FILLED.sub("\0", text[start:limit])
+                text, low = text[:start] + blank + text[limit:], low[:start] + blank + low[limit:]
+        line = text[s:e]
         if "://" in line:
             for m in _URL.finditer(line):
                 if not placeholder(m[2]) and not (m[1].lower() in ("user", "username") and m[2].lower().startswith("pass")):
@@ -372,7 +393,7 @@ def scan(path: str, text: str, layers: int = LAYERS) -> Iterator[Finding]:
             if not placeholder(m[1]):
                 yield Finding(m.start(1), m.end(1), "login", ((m.start(1), m.end(1)),))
     if layers:
-        for m in _LITERAL.finditer(text):
+        for m in _LITERAL.finditer(whole):
             if not m[2].startswith(("sha256-", "sha384-", "sha512-")) and hidden(m[2], layers):
                 yield Finding(m.start(2), m.end(2), "encoded", ((m.start(2), m.end(2)),))
 

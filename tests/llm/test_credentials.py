@@ -68,3 +68,16 @@ def test_table(spark):
     assert C.credential_lines(df.limit(0)).count() == 0
     got = {r.file_id: r.content for r in C.redacted(df).collect()}
     assert got[1] is None and got[2] == "" and got[3] == f'api_key = "{C.REDACTED}"' and got[4] == "x = 1\n" * 100_000
+
+
+def test_around_private_keys():
+    body = "MIIEowIBAAKCAQEAx3Kq9" + "Zq7Yw2Xv" * 5
+    one = "-----BEGIN PRIVATE KEY-----\\n" + body + "\\n" + body + "\\n-----END PRIVATE KEY-----\\n"
+    text = f'{{"db_password": "Ql6GP#W3mU", "k1": "{one}", "k2": "{one}", "url": "postgres://app:Nd3NF#Bkp7@db.test/x", "api_token": "{TOKEN}"}}'
+    clean = C.redact("a.json", text)
+    assert C.lines_with_credentials("a.json", text) == [1] and clean.count("-----BEGIN PRIVATE KEY-----") == 2
+    assert not any(x in clean for x in (body, "Ql6GP#W3mU", "Nd3NF#Bkp7", TOKEN))
+    long = "-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n" + "\n".join([body] * 900) + "\n-----END PGP PRIVATE KEY BLOCK-----\nx = 1\n"
+    assert body not in C.redact("k.asc", long) and C.lines_with_credentials("k.asc", long) == [1]
+    # a key without an end doesn't take what follows
+    assert C.redact("a.py", f"# -----BEGIN PRIVATE KEY-----\n# {body}\nx = 1\nsomeIdentifierOfLength()\n").endswith("\nx = 1\nsomeIdentifierOfLength()\n")
