@@ -54,23 +54,29 @@ def transcript_line(seconds: Column, text: Column) -> Column:
     return F.concat(F.lit("**"), stamp, F.lit("** · "), text)
 
 
-def flattened(nodes: DataFrame, id_col: str = "id", parent: str = "parent_id", order: str = "ord", rounds: int = 64) -> DataFrame:
+def flattened(nodes: DataFrame, id_col: str = "id", parent: str = "parent_id", order: str = "ord") -> DataFrame:
     """Nodes of reply trees in pre-order, with ``depth`` and a sortable ``place``.
 
-    One join a level: a level's rows find their children, however many trees there are.
+    Each round doubles how far up a node sees, so trees of any depth take a logarithm of
+    it in rounds. Ids are unique; nodes on a cycle, or under a parent that isn't there,
+    hang on no root and have no place.
     """
     from ..session import cut
 
-    key = F.lpad(F.col(order).cast("string"), 10, "0")
-    level = cut(nodes.where(F.col(parent).isNull()).withColumn("depth", F.lit(0)).withColumn("place", key))
-    out = level
-    for _ in range(rounds):
-        p = level.select(F.col(id_col).alias("__p"), (F.col("depth") + 1).alias("depth"), F.col("place").alias("__place"))
-        level = cut(nodes.join(p, nodes[parent] == p["__p"]).withColumn("place", F.concat("__place", F.lit("/"), key)).drop("__p", "__place").select(*level.columns))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    return out
+    text = F.col(order).cast("string")
+    width = max(10, nodes.agg(F.max(F.length(text)).alias("w")).first()["w"] or 0)
+    state = cut(nodes.withColumn("__up", F.col(parent)).withColumn("depth", F.when(F.col(parent).isNull(), 0).otherwise(1)).withColumn("place", F.lpad(text, width, "0")))
+    left = state.where("__up IS NOT NULL").count()
+    while left:
+        p = state.select(F.col(id_col).alias("__p"), F.col("__up").alias("__next"), F.col("depth").alias("__depth"), F.col("place").alias("__place"))
+        up = state.where("__up IS NOT NULL").join(p, F.col("__up") == F.col("__p"))
+        up = up.withColumn("depth", F.col("depth") + F.col("__depth")).withColumn("place", F.concat("__place", F.lit("/"), "place")).withColumn("__up", F.col("__next"))
+        state = cut(state.where("__up IS NULL").unionByName(up.select(*state.columns)))
+        # while a tree is unfinished each round finishes some of it; what stays is on or under a cycle
+        if (n := state.where("__up IS NOT NULL").count()) >= left:
+            break
+        left = n
+    return state.where("__up IS NULL").drop("__up")
 
 
 def unique_paths(clips: DataFrame, path: str = "path", order: str = "ord", by: tuple[str, ...] = ()) -> DataFrame:

@@ -122,6 +122,13 @@ def test_flatten_and_upsert(spark):
     assert {(r.k, r.t) for r in L.upserted(old, new, ["k"], partial="partial").collect()} == {("a", "full"), ("b", "part")}
 
 
+def test_flatten_deep_threads_and_long_ids(spark):
+    big = 10**11
+    rows = [(k, k - 1 if k else None, k) for k in range(150)] + [(big + 7, 0, big + 7), (big + 3, 0, big + 3), (900, 901, 900), (901, 900, 901), (902, 900, 902), (903, 999, 903)]
+    got = [(r.id, r.depth) for r in L.flattened(spark.createDataFrame(rows, "id long, parent_id long, ord long")).orderBy("place").collect()]
+    assert got == [(k, k) for k in range(150)] + [(big + 3, 1), (big + 7, 1)]
+
+
 def test_push(spark):
     rows = [(1, "a/b.md", "x"), (2, "a/../b.md", "x"), (2, "ok.md", "x"), (3, "c.md", "x" * 30)]
     df = spark.createDataFrame(rows, "batch long, path string, markdown string")
