@@ -1,7 +1,7 @@
 """Evaluation passages inside a training corpus.
 
-The test items' word n-grams, paragraph by paragraph, become one broadcast hash
-table. Every document is scanned once, window by window, on the executors: no
+The test items' word n-grams, paragraph by paragraph, become one broadcast table of
+sorted hashes. Every document is scanned once, window by window, on the executors: no
 shuffle, no join, and a document's cost is linear in its length.
 """
 
@@ -10,14 +10,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
+from ..session import cut
 from .text import WORD, plain, words
 
 PARAGRAPH = re.compile(r"\n[ \t\r\f\v]*\n")
-#: Bytes of test text up to which its n-grams are broadcast in one piece; longer sets are scanned in several pieces.
+#: Bytes of test paragraphs whose n-grams are broadcast at once; longer sets are scanned for in several pieces, with the same result.
 PIECE_BYTES = 16_000_000
 
 
@@ -25,56 +28,73 @@ def _paragraphs(text: str) -> list[str]:
     return [p for p in PARAGRAPH.split(text.replace("\r\n", "\n")) if p.strip()]
 
 
+def window_hashes(found: list[str], n: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``n`` successive words."""
+    if len(found) < n:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.fromiter((xxh64_intdigest(w) for w in found), dtype=np.uint64, count=len(found))
+    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
+    for k in range(n):
+        out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Grams:
-    """n-grams of test paragraphs by hash, each with the places it stands at."""
+    """Windows of ``n`` words of test paragraphs: sorted hashes, each with the place it stands at."""
 
-    def __init__(self, items: list[tuple[int, str | None]], n: int, shared: int):
+    def __init__(self, paragraphs: list[tuple[str, list[int]]], n: int):
         self.n = n
-        by_paragraph: dict[tuple[str, ...], set[int]] = {}
-        for item_id, text in items:
-            for p in _paragraphs(text or ""):
-                if len(w := tuple(words(p))) >= n:
-                    by_paragraph.setdefault(w, set()).add(item_id)
-        self.paragraphs = [(w, sorted(ids)) for w, ids in by_paragraph.items() if len(ids) < shared]
-        self.index()
-
-    def index(self) -> None:
-        n = self.n
-        self.at: dict[int, list[tuple[int, int]]] = {}
-        for k, (w, _) in enumerate(self.paragraphs):
-            for i in range(len(w) - n + 1):
-                self.at.setdefault(hash(w[i : i + n]), []).append((k, i))
-        self.first = {w[i] for w, _ in self.paragraphs for i in range(len(w) - n + 1)}
+        self.texts = [p for p, _ in paragraphs]
+        self.items = [sorted(ids) for _, ids in paragraphs]
+        parts = [window_hashes(p.split(" "), n) for p in self.texts]
+        sizes = [len(x) for x in parts]
+        hashes = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.paragraph = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.offset = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])[order] if sizes else np.zeros(0, dtype=np.int32)
+        self.split: dict[int, list[str]] = {}
 
     def hits(self, found: list[str]) -> Iterator[tuple[int, int]]:
-        """(window start, paragraph) of every verified window of ``found``."""
-        n, at, first = self.n, self.at, self.first
-        for i in range(len(found) - n + 1):
-            if found[i] in first:
-                window = tuple(found[i : i + n])
-                for k, j in at.get(hash(window), ()):
-                    if self.paragraphs[k][0][j : j + n] == window:
-                        yield i, k
+        """(window start, paragraph) of every window of ``found`` that is one of a paragraph, word for word."""
+        n, m = self.n, len(self.hashes)
+        h = window_hashes(found, n)
+        if not m or not len(h):
+            return
+        at = np.searchsorted(self.hashes, h)
+        for i in np.nonzero(self.hashes[np.minimum(at, m - 1)] == h)[0].tolist():
+            j = int(at[i])
+            while j < m and self.hashes[j] == h[i]:
+                k, o = int(self.paragraph[j]), int(self.offset[j])
+                w = self.split.get(k)
+                if w is None:
+                    w = self.split[k] = self.texts[k].split(" ")
+                if w[o : o + n] == found[i : i + n]:
+                    yield i, k
+                j += 1
 
 
 def _pieces(items: DataFrame, item_col: str, text_col: str, n: int, shared: int) -> Iterator[Grams]:
-    """Test sets are small by nature; one over ``PIECE_BYTES`` is taken piece by piece.
+    """Test sets are small by nature; one over ``PIECE_BYTES`` of paragraphs is scanned for piece by piece.
 
-    Paragraphs shared by ``shared`` items count over the whole set, so they are
-    removed before it is cut.
+    Which paragraphs ``shared`` items share is counted over the whole set.
     """
-    rows = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL AND item IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size <= PIECE_BYTES:
-        yield Grams([(r.item, r.text) for r in rows.collect()], n, shared)
-        return
-    norm = F.udf(lambda t: list(dict.fromkeys(" ".join(w) for p in _paragraphs(t or "") if len(w := words(p)) >= n)), "array<string>")
-    ps = rows.select("item", F.explode(norm("text")).alias("p")).groupBy("p").agg(F.collect_set("item").alias("items"))
-    ps = ps.where(F.size("items") < shared).select(F.explode("items").alias("item"), F.col("p").alias("text"))
-    pieces = -(-size // PIECE_BYTES)
+
+    @F.pandas_udf("array<string>")
+    def normal(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(dict.fromkeys(" ".join(w) for p in _paragraphs(t or "") if len(w := words(p)) >= n)) for t in texts], dtype="object")
+
+    rows = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL AND item IS NOT NULL")
+    pairs = rows.select("item", F.explode(normal("text")).alias("p")).distinct()
+    few = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") < shared).select("p")
+    # fewer than ``shared`` items a paragraph are left
+    kept = cut(pairs.join(few, "p").groupBy("p").agg(F.collect_set("item").alias("items")))
+    size = kept.agg(F.sum(F.octet_length("p"))).first()[0] or 0
+    pieces = max(1, -(-size // PIECE_BYTES))
     for k in range(pieces):
-        part = ps.where(F.pmod(F.xxhash64("text"), F.lit(pieces)) == k)
-        yield Grams([(r.item, r.text) for r in part.collect()], n, shared)
+        part = kept if pieces == 1 else kept.where(F.pmod(F.xxhash64("p"), F.lit(pieces)) == k)
+        yield Grams(sorted((r.p, r.items) for r in part.collect()), n)
 
 
 def leaked(
@@ -99,15 +119,15 @@ def leaked(
     sc = documents.sparkSession.sparkContext
     out = None
     for grams in _pieces(items, item_col, item_text_col, n, shared):
-        table = sc.broadcast((grams.paragraphs, n, shared))
+        table = sc.broadcast(grams)
 
         def scan(batches: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
-            g = _grams(table)
+            g = table.value
             for b in batches:
                 ids, its = [], []
                 for doc, text in zip(b["doc_id"], b["t"]):
                     hit = {k for _, k in g.hits(words(text))}
-                    pairs = {i for k in hit for i in g.paragraphs[k][1]}
+                    pairs = {i for k in hit for i in g.items[k]}
                     ids += [doc] * len(pairs)
                     its += sorted(pairs)
                 yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "item_id": pd.Series(its, dtype="int64")})
@@ -117,28 +137,10 @@ def leaked(
     return out.distinct()
 
 
-_BUILT: dict[int, tuple] = {}
-
-
-def _grams(table) -> Grams:
-    """The hash table of a broadcast, built once per Python worker (string hashes differ between workers)."""
-    value = table.value
-    held = _BUILT.get(id(value))
-    if held is None or held[0] is not value:
-        paragraphs, n, shared = value
-        g = Grams([], n, shared)
-        g.paragraphs = paragraphs
-        g.index()
-        while len(_BUILT) >= 8:
-            _BUILT.pop(next(iter(_BUILT)))
-        held = _BUILT[id(value)] = (value, g)
-    return held[1]
-
-
 def passages(items: DataFrame, n: int = 8, shared: int = 10, item_col: str = "item_id", text_col: str = "text") -> list:
-    """Broadcast tables of the items' passages, for :func:`_grams`."""
+    """Broadcast tables (:class:`Grams`) of the items' passages."""
     sc = items.sparkSession.sparkContext
-    return [sc.broadcast((g.paragraphs, n, shared)) for g in _pieces(items, item_col, text_col, n, shared)]
+    return [sc.broadcast(g) for g in _pieces(items, item_col, text_col, n, shared)]
 
 
 def without_leaks(
@@ -156,40 +158,46 @@ def without_leaks(
 
     The lines that hold words of a verified window are removed from the text, and a
     document whose leaked words are more than ``drop_share`` of its words is dropped as
-    a whole. Null texts pass unchanged with 0 leaked words.
+    a whole. Null texts pass unchanged with 0 leaked words. The windows of all pieces of
+    the test set are found in the text as it came, and it is cut once.
     """
-    sc = documents.sparkSession.sparkContext
-    out = documents.withColumn("leaked_words", F.lit(0).cast("long")).withColumn("__drop", F.lit(False))
-    for grams in _pieces(items, item_col, item_text_col, n, shared):
-        table = sc.broadcast((grams.paragraphs, n, shared))
-
-        @F.pandas_udf("struct<text: string, leaked: long, dropped: boolean>")
-        def cleaned(texts: pd.Series) -> pd.DataFrame:
-            g = _grams(table)
-            return pd.DataFrame([_clean(g, t, drop_share) for t in texts], columns=["text", "leaked", "dropped"])
-
-        out = (
-            out.withColumn("__c", cleaned(F.col(text_col)))
-            .withColumn(text_col, F.col("__c.text"))
-            .withColumn("leaked_words", F.col("leaked_words") + F.col("__c.leaked"))
-            .withColumn("__drop", F.col("__drop") | F.col("__c.dropped"))
-            .drop("__c")
-        )
-    return out.where(~F.col("__drop")).drop("__drop")
-
-
-def _clean(g: Grams, text: str | None, drop_share: float) -> tuple[str | None, int, bool]:
-    if text is None:
-        return None, 0, False
-    lines = text.split("\n")
+    marks = [_marked(table)(F.col(text_col)) for table in passages(items, n, shared, item_col, item_text_col)]
+
+    @F.pandas_udf("struct<text: string, leaked: long, dropped: boolean>")
+    def cleaned(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_cut(t, () if s is None else s, n, drop_share) for t, s in zip(texts, starts)], columns=["text", "leaked", "dropped"])
+
+    starts = F.flatten(F.array(*(F.coalesce(m, F.array().cast("array<int>")) for m in marks)))
+    done = documents.withColumn("__starts", starts).withColumn("__c", cleaned(F.col(text_col), F.col("__starts")))
+    return done.where(~F.col("__c.dropped")).withColumn(text_col, F.col("__c.text")).withColumn("leaked_words", F.col("__c.leaked")).drop("__starts", "__c")
+
+
+def _marked(table):
+    """A column function: the window starts of a text that one table of passages holds."""
+
+    @F.pandas_udf("array<int>")
+    def marked(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else sorted({i for i, _ in table.value.hits(_by_line(t)[0])}) for t in texts], dtype="object")
+
+    return marked
+
+
+def _by_line(text: str) -> tuple[list[str], list[int]]:
+    """Words of a text, and the line each stands on."""
     found: list[str] = []
     line_of: list[int] = []
-    for k, line in enumerate(lines):
+    for k, line in enumerate(text.split("\n")):
         w = WORD.findall(plain(line).casefold())
         found += w
         line_of += [k] * len(w)
-    hit = {j for i, _ in g.hits(found) for j in range(i, i + g.n)}
-    if not hit:
+    return found, line_of
+
+
+def _cut(text: str | None, starts, n: int, drop_share: float) -> tuple[str | None, int, bool]:
+    """``text`` without the lines of the windows at ``starts``, their words, and whether too many are."""
+    if text is None or not len(starts):
         return text, 0, False
+    found, line_of = _by_line(text)
+    hit = {j for i in starts for j in range(int(i), int(i) + n)}
     gone = {line_of[j] for j in hit}
-    return "\n".join(x for k, x in enumerate(lines) if k not in gone), len(hit), len(hit) > drop_share * len(found)
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone), len(hit), len(hit) > drop_share * len(found)

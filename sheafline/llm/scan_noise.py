@@ -428,7 +428,7 @@ def word_counts(src: DataFrame) -> DataFrame:
             for text, skip in zip(b["text"], b["skip"]):
                 count_page(_page(text, skip), c)
             if len(c) > 500_000:
-                yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+                yield pd.DataFrame({"word": pd.Series(list(c), dtype="object"), "n": pd.Series(list(c.values()), dtype="int64")})
                 c = Counter()
         yield pd.DataFrame({"word": pd.Series(list(c), dtype="object"), "n": pd.Series(list(c.values()), dtype="int64")})
 
@@ -484,7 +484,7 @@ def _vectors(src: DataFrame, verdicts: DataFrame, frequent: dict[str, int]) -> V
                         for c in toks[max(0, k - WINDOW) : k] + toks[k + 1 : k + 1 + WINDOW]:
                             m[i, bucket(c)] += 1
         kept = np.nonzero(m.sum(axis=1))[0]
-        yield pd.DataFrame({"i": kept.astype("int64"), "v": [m[i].tolist() for i in kept]})
+        yield pd.DataFrame({"i": kept.astype("int64"), "v": pd.Series([m[i].tolist() for i in kept], dtype="object")})
 
     parts = src.select("text", "skip").mapInPandas(each, "i long, v array<long>")
     rows = parts.groupBy("i").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(CONTEXTS))).alias("v")).collect()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
-from .leakage import Grams, _grams, passages
+from .leakage import Grams, passages
 from .text import WORD, plain
 
 #: Words the lexicon may hold; a word takes about 200 bytes of a broadcast.
@@ -175,6 +175,11 @@ def _one(parts: list, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     return p, has
 
 
+def _word_rows(c: dict[str, np.ndarray]) -> pd.DataFrame:
+    """Words and their sums; an empty batch keeps the type of its lists."""
+    return pd.DataFrame({"word": pd.Series(list(c), dtype="object"), "c": pd.Series([v.tolist() for v in c.values()], dtype="object")})
+
+
 def _counts(lexicon, soft: bool):
     """Expected subject counts of the words of a batch of documents.
 
@@ -211,9 +216,9 @@ def _counts(lexicon, soft: bool):
                     else:
                         n[word] = c.copy()
             if len(n) > 200_000:
-                yield pd.DataFrame({"word": list(n), "c": [v.tolist() for v in n.values()]})
+                yield _word_rows(n)
                 n = {}
-        yield pd.DataFrame({"word": pd.Series(list(n), dtype="object"), "c": pd.Series([v.tolist() for v in n.values()], dtype="object")})
+        yield _word_rows(n)
 
     return each
 
@@ -288,7 +293,7 @@ def _tongues(docs: DataFrame, max_words: int) -> tuple[list[str], dict[str, np.n
                 for w in {w for s in sents for w in s}:
                     c[w][k[lang]] += 1
                     c[w][-1] += 1
-            yield pd.DataFrame({"word": list(c), "c": [v.tolist() for v in c.values()]})
+            yield _word_rows(c)
 
     known = claimed.where(F.col("l").isin(langs))
     size = {r.l: r["count"] for r in known.groupBy("l").count().collect()}
@@ -368,7 +373,7 @@ def subject_shares(
             for doc, source, lang, text in zip(b["doc_id"], b["source"], b["lang"], b["text"]):
                 body, heads, links = sentences(text)
                 for t in tables:
-                    body = _without(_grams(t), body)
+                    body = _without(t.value, body)
                 out.append((doc, source, lang, [tokens(s) for s in body], heads, links))
             yield pd.DataFrame(out, columns=["doc_id", "source", "lang", "sents", "heads", "links"])
 
@@ -409,7 +414,7 @@ def subject_shares(
                 p[-1] = 1.0
                 for t in {t for s in doc for t in s}:
                     c[t] += p
-            yield pd.DataFrame({"word": list(c), "c": [v.tolist() for v in c.values()]})
+            yield _word_rows(c)
 
     seeds = docs.where("labels IS NOT NULL").mapInPandas(seeded, "word string, c array<double>")
     lexicon = _induced(_summed(seeds, n), names, max_words, 5.0, 0.6)

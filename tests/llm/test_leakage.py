@@ -33,3 +33,17 @@ def test_clean(spark):
     got = {r.doc_id: (r.text, r.leaked_words) for r in L.without_leaks(df, items(spark)).collect()}
     assert got[1][0].split("\n")[0] == "first line" and ITEM not in got[1][0] and got[1][1] > 8
     assert 2 not in got and got[3] == (None, 0) and got[4] == ("fine", 0)
+
+
+def test_pieces_clean_the_same(spark, monkeypatch):
+    """Spans of several pieces are found in the text as it came: shares of words and neighbouring spans stay whole."""
+    third = "Whoever counted the lanterns on the quay forgot those that hung behind the chandlery."
+    its = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, third)], "item_id long, text string")
+    more = "and these are words of its own that nobody has ever asked about in any test at all"
+    docs = [(1, f"{ITEM}\n{OTHER}\n{third}\n{more}"), (2, f"{more}\n{OTHER}\n{more}\n{ITEM} {more}"), (3, f"{ITEM} {OTHER}"), (4, more), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS item_id")
+    whole = sorted(map(str, L.without_leaks(df, its).collect()))
+    monkeypatch.setattr(L, "PIECE_BYTES", 90)
+    assert len(list(L._pieces(its, "item_id", "text", 8, 10))) == 3
+    assert sorted(map(str, L.without_leaks(df, its).collect())) == whole
+    assert [r.doc_id for r in L.without_leaks(df, its).orderBy("doc_id").collect()] == [2, 4, 5]
