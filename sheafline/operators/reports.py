@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .quantiles import bisect_counts
+from ..session import cut
 
 DAY = 86_400
 RETENTION_DAYS = 180
@@ -55,12 +55,22 @@ def formats(events: DataFrame, start: int | None = None) -> DataFrame:
 def floor_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """``n, p50, p90, max`` per group, the percentile at index ``floor((n - 1) * p)``.
 
-    By bisection over counts of equal values: no group is collected or sorted in one task.
+    Equal values are folded first, and the running count is taken over blocks of the
+    sorted values: only the sums of blocks, one row a partition and group, meet in one
+    place, so a group with most rows is sorted by many tasks.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("grp"), F.lit("v").alias("metric"), F.col(value).cast("long").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    found = bisect_counts(counts, (0.5, 0.9, 1.0), levels=16)
-    at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
-    return found.groupBy(F.col("grp").alias(by)).agg(F.max("n_rows").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(1.0).alias("max"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("grp"), F.col(value).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    placed = cut(counts.repartitionByRange("grp", "v").withColumn("block", F.spark_partition_id()))
+    blocks = placed.groupBy("grp", "block").agg(F.sum("cnt").alias("k"))
+    before = blocks.withColumn("before", F.sum("k").over(Window.partitionBy("grp").orderBy("block")) - F.col("k"))
+    total = blocks.groupBy("grp").agg(F.sum("k").alias("n"))
+    same = lambda a, b: a["grp"].eqNullSafe(b["g"])
+    sums = before.select(F.col("grp").alias("g"), F.col("block").alias("bl"), "before").join(total.select(F.col("grp").alias("h"), "n"), F.col("g").eqNullSafe(F.col("h"))).drop("h")
+    run = Window.partitionBy("grp", "block").orderBy("v")
+    # blocks and groups: a row a partition and group
+    upto = placed.withColumn("run", F.sum("cnt").over(run)).join(sums, same(placed, sums) & (F.col("block") == F.col("bl"))).withColumn("upto", F.col("before") + F.col("run"))
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * p), F.col("v")))
+    return upto.groupBy(F.col("grp").alias(by)).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("v").alias("max"))
 
 
 def sizes(events: DataFrame, start: int | None = None) -> DataFrame:

@@ -5,59 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators import quantiles
-from ..session import table
 from . import core
 
-PERCENTILE_VALUES = ", ".join(f"({p})" for p in quantiles.PERCENTILES)
-
-
-def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles of ``n`` and ``b`` per event name, deliveries counted once."""
-    found = quantiles.exact_percentiles(table(spark, sf_dir, "usage_events"), "name", ["n", "b"])
-    return found.withColumnRenamed("grp", "name")
-
-
-def p2_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The additive states kept per day."""
-    day = F.floor(F.col("ts") / 86400).cast("long").alias("day")
-    return quantiles.percentile_state(table(spark, sf_dir, "usage_events"), "name", ["n", "b"], [day]).withColumnRenamed("grp", "name")
-
-
-def p2_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from states kept per day and merged: the interval that holds each percentile."""
-    daily = p2_states(spark, sf_dir).withColumnRenamed("name", "grp")
-    return quantiles.state_percentiles(daily).withColumnRenamed("grp", "name")
-
-
-_LONG = """
-WITH d AS (SELECT DISTINCT id, name, n, b FROM usage_events),
-l AS (SELECT name, 'n' AS metric, n AS v FROM d WHERE n IS NOT NULL UNION ALL SELECT name, 'b', b FROM d WHERE b IS NOT NULL)
-"""
-_EXACT = f"""
-{_LONG}, g AS (SELECT name, metric, list_sort(list(v)) AS vs FROM l GROUP BY 1, 2)
-SELECT name, metric, CAST(p AS DOUBLE) AS p, CAST(len(vs) AS BIGINT) AS n_rows, CAST(vs[CAST(floor((len(vs) - 1) * CAST(p AS DOUBLE)) AS BIGINT) + 1] AS BIGINT) AS value
-FROM g, (VALUES {PERCENTILE_VALUES}) AS t(p)
-"""
-
-
-_DAILY = """
-WITH d AS (SELECT DISTINCT id, ts // 86400 AS day, name, n, b FROM usage_events)
-SELECT day, name, 'n' AS metric, n AS value FROM d WHERE n IS NOT NULL UNION ALL SELECT day, name, 'b', b FROM d WHERE b IS NOT NULL
-"""
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_percentiles": p2_percentiles, "p2_states": p2_states, "p2_combined": p2_combined, **core.QUERIES}
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    width = "CAST(pow(2, greatest(floor(log2(greatest(value, 1))) - 8, 0)) AS BIGINT)"
-    return {
-        "p2_percentiles": _EXACT,
-        "p2_states": f"SELECT day, name, metric, value // w * w AS lo, w AS width, count(*) AS cnt FROM (SELECT *, {width} AS w FROM ({_DAILY})) GROUP BY ALL",
-        "p2_combined": f"SELECT name, metric, p, n_rows, value // w * w AS low, value // w * w + w - 1 AS high FROM (SELECT *, {width} AS w FROM ({_EXACT}))",
-        **core.SQL,
-    }
+    return dict(core.SQL)

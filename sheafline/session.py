@@ -52,13 +52,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session without
-    one (tests, a laptop) gets a folder of its own.
+    The folder is the cluster's ``spark.checkpoint.dir``; only a session on one
+    machine (tests, a laptop) gets a folder of its own where that is unset.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sheafline-ckpt-"))
     return df.checkpoint(eager=True)
 
