@@ -1,13 +1,17 @@
 """Noise of scanned pages: words broken across lines, misread glyphs, running furniture.
 
-The corpus itself is the dictionary. A first pass over all pages counts words and the
-pairs of halves at line ends. Rare words are linked to frequent words they differ from by
-plausible glyph edits (or split into two frequent words), and halves are judged by whether
-the corpus knows them joined or with their own hyphen. Skip-gram vectors - counts of
-(word, context) pairs within a window, projected onto hashed contexts and turned into
-pointwise mutual information, the matrix that skip-gram with negative sampling factorises -
-decide links that frequency leaves open, in the context of each occurrence. A second pass
-applies the links line by line, drops furniture and reflows paragraphs.
+The corpus itself is the dictionary. A first pass over all pages counts words, the pairs
+of halves at line ends, and pairs of a word's parts (hashed runs of its letters) with the
+words around it. From the pairs skip-gram vectors are trained with negative sampling; as a
+word's vector is that of its parts, a misread word lies near the one it was. Each rare
+word is linked to the frequent word that a plausible glyph edit and nearness in the vector
+space lead to (or split into two frequent words), and halves are judged by whether the
+corpus knows them joined or with their own hyphen. A second pass takes up the words that
+have a link, line by line; where frequency leaves a link open, the vectors decide in the
+context of each occurrence. Then furniture is dropped and paragraphs are reflowed.
+
+Words and their links stay in tables that are joined; what is broadcast (vectors, and
+bitmaps of the words worth asking for) has a fixed size.
 """
 
 from __future__ import annotations
@@ -22,17 +26,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
+from xxhash import xxh32_intdigest, xxh64_intdigest
 
 from ..session import cut
 
 DOCUMENT_ENDINGS = ("pdf", "docx", "odt", "tiff")
-#: Most frequent words that may be the target of a link.
-FREQUENT_WORDS = 300_000
-#: Links and judged halves that a scan holds at once; more are applied in several scans.
-VERDICTS = 500_000
-#: Words with vectors, and hashed contexts of a vector.
-VECTOR_WORDS, CONTEXTS, WINDOW = 20_000, 32, 2
+#: Letters beyond which a run of characters is no word but a code or an address.
+LONGEST_WORD = 40
+#: Hashed parts of words and hashed contexts that vectors are learned of, their length, the window, and negative samples a pair.
+PARTS, CONTEXTS, LENGTH, WINDOW, NEGATIVES = 4096, 128, 24, 2, 5
+#: What nearness in the vector space counts against the logarithm of a frequency.
+NEARNESS = 2.0
+#: Bits of a bitmap of words.
+BITMAP_BITS = 1 << 26
 #: A target occurs so many times, and so many times as often as what is linked to it.
 TARGET_LEAST, RATIO, SURE_RATIO = 12, 12, 60
 
@@ -67,6 +73,8 @@ _WITH_NUMBER = re.compile(rf"\s*(?:(?P<n>{_NUMBER})\s*(?:\||[-–—:·]|\s)\s*(
 #: A title in capitals set off from its number, or one divided from it by a bar.
 _SET_OFF = re.compile(rf"\s*(?:{_NUMBER}\s{{2,}}[^a-z]*|[^a-z]*\s{{2,}}{_NUMBER}|.*\s\|\s*{_NUMBER}|{_NUMBER}\s*\|\s.*)\s*$")
 _ROW = re.compile(rf"\s*{_NUMBER}(?:[.,]{_NUMBER})*(?:\s{{2,}}{_NUMBER}(?:[.,]{_NUMBER})*)+\s*$")
+#: A word in capitals that another ran into.
+_RUN_IN = re.compile(r"([a-z]{1,12})([A-Z][a-z]{2,})")
 _TO_DIGIT = str.maketrans({"l": "1", "I": "1", "|": "1", "O": "0", "o": "0", "S": "5", "B": "8", "Z": "2"})
 _SMALL = frozenset("a an and as at by de der des die du et for from in la le les of on or the to und vs with y".split())
 
@@ -265,11 +273,17 @@ def key_of(left: str, right: str) -> str:
     return f"{left.lower()}\x00{right.lower()}"
 
 
+def run_in_key(m: re.Match) -> str:
+    return f"\x01{m[1]}\x01{m[2]}"
+
+
 def count_page(page: Page, c: Counter) -> None:
     for t in page.tokens:
         w = t.word.lower()
         if w.isalpha():
             c[w] += 1
+            if m := _RUN_IN.fullmatch(t.word):
+                c[run_in_key(m)] += 1
             continue
         if _PARTS.search(w):
             c[re.sub(rf"[{_HY}]", "-", w)] += 1
@@ -292,10 +306,17 @@ def edits(w: str) -> set[str]:
 
 
 class Linker:
-    """Links rare words to frequent ones, and judges broken words, by the corpus's own counts."""
+    """Links rare words to frequent ones, and judges broken words, by the corpus's own counts and vectors."""
 
-    def __init__(self, frequent: dict[str, int]):
-        self.n = frequent
+    def __init__(self, known: dict[str, int], vectors: Vectors | None = None):
+        self.n, self.vectors = known, vectors
+
+    def best(self, w: str, found: set[str]) -> str | None:
+        """The nearest of the frequent words, with regard to how frequent they are."""
+        if len(found) < 2 or self.vectors is None:
+            return max(found, key=lambda v: (self.n[v], v), default=None)
+        own = self.vectors.word(w)
+        return max(found, key=lambda v: (np.log(self.n[v]) + NEARNESS * cosine(own, self.vectors.word(v)), v))
 
     def link(self, w: str, n: int) -> tuple[str, str, bool] | None:
         """``(kind, what it was, sure)`` for a word that is not what was printed."""
@@ -305,19 +326,14 @@ class Linker:
         if odd:
             floor = max(2, n)
         if len(w) >= 2 and not w.isdigit():
-            best = max((v for v in edits(w) if known.get(v, 0) >= floor and v.isalpha()), key=lambda v: (known[v], v), default=None)
+            best = self.best(w, {v for v in edits(w) if known.get(v, 0) >= floor and v.isalpha()})
             if best is None and len(w) >= 4:
-                twice = {x for v in edits(w) for x in edits(v) if known.get(x, 0) >= (floor if odd else 4 * floor) and x.isalpha()}
-                twice.discard(w)
-                best = max(twice, key=lambda v: (known[v], v), default=None)
+                best = self.best(w, {x for x in edits_of_edits(w) if known.get(x, 0) >= (floor if odd else 4 * floor) and x.isalpha()})
             if best is not None and (len(w) > 2 or odd or known[best] >= 200 * n):
                 return "glyph", best, odd or known[best] >= SURE_RATIO * n
         if w.isalpha() and len(w) >= 3:
             cut_at = None
-            for i in range(1, len(w)):
-                a, b = w[:i], w[i:]
-                if (len(a) == 1 and a not in ("a", "i")) or (len(b) < 2 and (b != "a" or len(a) < 2)):
-                    continue
+            for a, b in halves(w):
                 low = min(known.get(a, 0), known.get(b, 0))
                 if low >= max(TARGET_LEAST, 8 * n) and (cut_at is None or low > cut_at[0]):
                     cut_at = (low, f"{a} {b}")
@@ -341,40 +357,169 @@ class Linker:
         # the corpus knows neither: two words of their own make a compound
         return not (known.get(base, 0) >= 5 and known.get(right, 0) >= 5)
 
+    def verdict(self, key: str, n: int) -> tuple[str, str, bool] | None:
+        """On any key that :func:`count_page` counts."""
+        if "\x00" in key:
+            left, _, right = key.partition("\x00")
+            return ("broken", left + right, True) if self.judge(left, right) else None
+        if key.startswith("\x01"):
+            _, a, b = key.split("\x01")
+            run_in = self.n.get(a, 0) >= 50 and self.n.get((a + b).lower(), 0) * 4 < self.n.get(b.lower(), 0)
+            return ("joined", f"{a} {b}", True) if run_in else None
+        return self.link(key, n)
+
+
+def halves(w: str) -> Iterator[tuple[str, str]]:
+    for i in range(1, len(w)):
+        a, b = w[:i], w[i:]
+        if not ((len(a) == 1 and a not in ("a", "i")) or (len(b) < 2 and (b != "a" or len(a) < 2))):
+            yield a, b
+
+
+def edits_of_edits(w: str) -> set[str]:
+    out = {x for v in edits(w) for x in edits(v)}
+    out.discard(w)
+    return out
+
+
+def asked_of(key: str, known: Bitmap) -> list[str]:
+    """The words whose counts a verdict on ``key`` depends on, as far as the corpus may know them."""
+    if "\x00" in key:
+        left, _, right = key.partition("\x00")
+        base = _PARTS.split(left)[-1]
+        return [v for v in {base, right, base + right, f"{left}-{right}"} | (edits(base + right) if len(base + right) <= LONGEST_WORD else set()) if v in known]
+    if key.startswith("\x01"):
+        _, a, b = key.split("\x01")
+        return [v for v in {a, (a + b).lower(), b.lower()} if v in known]
+    if len(key) < 2 or len(key) > LONGEST_WORD or key.isdigit():
+        return []
+    out = {v for v in edits(key) if v.isalpha() and v in known}
+    if len(key) >= 4:
+        out |= {v for v in edits_of_edits(key) if v.isalpha() and v in known}
+    if key.isalpha():
+        out |= {x for a, b in halves(key) if a in known and b in known for x in (a, b)}
+    return list(out)
+
+
+class Bitmap:
+    """A set of words as bits at their hashes: what is in the set is found, and little else."""
+
+    def __init__(self, blocks: np.ndarray, bits: np.ndarray):
+        self.words = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
+        self.words[blocks] = bits
+
+    def __contains__(self, w: str) -> bool:
+        h = xxh64_intdigest(w, 42) % BITMAP_BITS
+        return bool((int(self.words[h >> 6]) >> (h & 63)) & 1)
+
+
+def bitmap(words: DataFrame) -> Bitmap:
+    """Of a column ``word``; at most ``BITMAP_BITS / 64`` rows reach the driver, however many words there are."""
+    at = F.pmod(F.xxhash64("word"), F.lit(BITMAP_BITS))
+    bits = words.select(at.alias("h")).groupBy(F.call_function("shiftright", "h", F.lit(6)).alias("block"))
+    rows = bits.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))).alias("bits")).toPandas()
+    return Bitmap(rows["block"].to_numpy("int64"), rows["bits"].to_numpy("int64"))
+
 
 # -- vectors ------------------------------------------------------------------------------
 
 
-def bucket(w: str) -> int:
+def context(w: str) -> int:
     return xxh32_intdigest(w) % CONTEXTS
 
 
+def parts(w: str) -> list[int]:
+    """The word itself and its runs of three and four letters, hashed."""
+    x = f"<{w[:LONGEST_WORD]}>"
+    return list({xxh32_intdigest(p, 7) % PARTS for p in (x, *(x[i : i + k] for k in (3, 4) for i in range(len(x) - k + 1)))})
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    return float(a @ b / (np.sqrt((a @ a) * (b @ b)) + 1e-9))
+
+
+def pair_counts(runs: list[list[str]]) -> np.ndarray:
+    """How often each part stands within the window of each context, as one row of cells; runs are texts' words."""
+    ids: dict[str, int] = {}
+    flat = []
+    for words in runs:
+        flat += [ids.setdefault(w, len(ids)) for w in words]
+        flat += [-1] * WINDOW
+    at = np.array(flat, dtype=np.int64)
+    keys = []
+    for k in range(1, WINDOW + 1):
+        a, b = at[:-k], at[k:]
+        on = (a >= 0) & (b >= 0)
+        keys += [a[on] * len(ids) + b[on], b[on] * len(ids) + a[on]]
+    out = np.zeros(PARTS * CONTEXTS, dtype=np.int64)
+    pairs, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if len(pairs):
+        words = list(ids)
+        near = np.array([context(w) for w in words])[pairs % len(ids)]
+        rows = [np.array(parts(w)) for w in words]
+        own, size = pairs // len(ids), np.array([len(r) for r in rows])
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        k = size[own]
+        inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        cell = np.concatenate(rows)[np.repeat(start[own], k) + inner] * CONTEXTS + np.repeat(near, k)
+        out += np.bincount(cell, weights=np.repeat(n, k), minlength=len(out)).astype(np.int64)
+    return out
+
+
 class Vectors:
-    """Pointwise mutual information of words with hashed contexts."""
+    """Skip-gram vectors of parts of words, trained with negative sampling.
 
-    def __init__(self, words: list[str], counts: np.ndarray):
-        self.at = {w: i for i, w in enumerate(words)}
-        total = counts.sum() or 1.0
-        row, col = counts.sum(axis=1, keepdims=True), counts.sum(axis=0, keepdims=True)
-        self.pmi = np.log((counts + 0.1) * total / ((row + 0.1 * CONTEXTS) * (col + 1.0)))
+    The loss of skip-gram depends on the corpus only through the counts of pairs, and the
+    expected loss of negative samples only through the counts of words. So it is minimised
+    over the counts, step by step over all pairs at once: the work does not grow with the
+    corpus, and the same corpus always gives the same vectors.
+    """
 
-    def fits(self, w: str, around: list[str]) -> float:
-        i = self.at.get(w)
-        if i is None or not around:
-            return 0.0
-        return float(np.mean([self.pmi[i, bucket(c)] for c in around]))
+    def __init__(self, counts: np.ndarray, steps: int = 150):
+        n = counts.reshape(PARTS, CONTEXTS).astype(np.float64)
+        row, col, total = n.sum(axis=1, keepdims=True), n.sum(axis=0, keepdims=True), n.sum()
+        rng = np.random.default_rng(5)
+        self.u = rng.normal(0, 0.1, (PARTS, LENGTH))
+        self.v = rng.normal(0, 0.1, (CONTEXTS, LENGTH))
+        if total:
+            seen = n / (row + 1.0)
+            drawn = NEGATIVES * (row / (row + 1.0)) * (col / total)
+            weight = np.sqrt(row + 1.0)
+            weight /= weight.mean()
+            moments = [np.zeros_like(self.u), np.zeros_like(self.u), np.zeros_like(self.v), np.zeros_like(self.v)]
+            for t in range(1, steps + 1):
+                s = 1 / (1 + np.exp(-self.u @ self.v.T))
+                g = drawn * s - seen * (1 - s)
+                for k, (x, d) in enumerate(((self.u, g @ self.v), (self.v, (weight * g).T @ self.u / PARTS))):
+                    m, q = moments[2 * k], moments[2 * k + 1]
+                    m += 0.1 * (d - m)
+                    q += 0.01 * (d * d - q)
+                    x -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.99**t)) + 1e-8)
+        self.u, self.v = self.u.astype(np.float32), self.v.astype(np.float32)
+
+    def word(self, w: str) -> np.ndarray:
+        return self.u[parts(w)].mean(axis=0)
+
+    def fits(self, w: str, around) -> float:
+        """How well a word goes with hashed contexts."""
+        return float((self.v[np.asarray(around, dtype=np.int64)] @ self.word(w)).mean()) if len(around) else 0.0
 
 
 # -- on tables ------------------------------------------------------------------------------
 
 
 def pages(files: DataFrame | None, images: DataFrame | None) -> DataFrame:
-    """``(rec_kind, rec_id, text, skip)`` of documents and page images; ``skip`` holds an image's furniture lines."""
+    """``(row, rec_kind, rec_id, text, skip)`` of documents and page images; ``skip`` holds the lines that are furniture."""
+
+    @F.pandas_udf("array<int>")
+    def skipped(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(furniture(x := t.split("\n"), page_starts(x))) for t in texts], dtype="object")
+
     parts = []
     if files is not None:
         end = F.lower(F.element_at(F.split(F.coalesce("path", F.lit("")), r"\."), -1))
         f = files.where(end.isin(*DOCUMENT_ENDINGS) & F.col("content").isNotNull() & F.col("file_id").isNotNull())
-        parts.append(f.select(F.lit("file").alias("rec_kind"), F.col("file_id").cast("long").alias("rec_id"), F.col("content").alias("text"), F.lit(None).cast("array<int>").alias("skip")))
+        parts.append(f.select(F.lit("file").alias("rec_kind"), F.col("file_id").cast("long").alias("rec_id"), F.col("content").alias("text"), skipped(F.col("content")).alias("skip")))
     if images is not None:
         i = images.where(F.col("ocr_text").isNotNull() & F.col("image_id").isNotNull()).withColumn("image_id", F.col("image_id").cast("long"))
         skip = image_furniture(i).groupBy("image_id").agg(F.collect_list("line").alias("skip"))
@@ -383,7 +528,7 @@ def pages(files: DataFrame | None, images: DataFrame | None) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return cut(out.withColumn("row", F.monotonically_increasing_id()))
 
 
 def image_furniture(images: DataFrame) -> DataFrame:
@@ -416,129 +561,142 @@ def image_furniture(images: DataFrame) -> DataFrame:
 
 
 def _page(text: str, skip) -> Page:
-    return Page(text, None if skip is None else {int(x) for x in skip})
+    return Page(text, {int(x) for x in skip})
+
 
+#: Words of pages whose pairs are counted at once.
+BLOCK_WORDS = 100_000
 
-def word_counts(src: DataFrame) -> DataFrame:
-    """``(word, n)`` over all pages; halves of broken words are counted as pairs."""
+
+def statistics(src: DataFrame) -> tuple[DataFrame, Vectors]:
+    """``(word, n)`` over all pages, with halves of broken words as pairs, and the vectors learned from all pages."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
+        runs: list[list[str]] = []
+        cells, size = np.zeros(PARTS * CONTEXTS, dtype=np.int64), 0
         for b in batches:
             for text, skip in zip(b["text"], b["skip"]):
-                count_page(_page(text, skip), c)
+                page = _page(text, skip)
+                count_page(page, c)
+                runs.append([t.word.lower() for t in page.tokens])
+                size += len(runs[-1])
+                if size > BLOCK_WORDS:
+                    cells += pair_counts(runs)
+                    runs, size = [], 0
             if len(c) > 500_000:
-                yield pd.DataFrame({"word": pd.Series(list(c), dtype="object"), "n": pd.Series(list(c.values()), dtype="int64")})
+                yield _counted(list(c), -1, list(c.values()))
                 c = Counter()
-        yield pd.DataFrame({"word": pd.Series(list(c), dtype="object"), "n": pd.Series(list(c.values()), dtype="int64")})
+        cells += pair_counts(runs)
+        at = np.flatnonzero(cells)
+        yield _counted(list(c), -1, list(c.values()))
+        yield _counted([None] * len(at), at, cells[at])
 
-    return src.select("text", "skip").mapInPandas(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = cut(src.select("text", "skip").mapInPandas(each, "word string, cell int, n long").groupBy("word", "cell").agg(F.sum("n").alias("n")))
+    # a cell for each part and context, however many pages there are
+    rows = sums.where("cell >= 0").select("cell", "n").toPandas()
+    cells = np.zeros(PARTS * CONTEXTS, dtype=np.int64)
+    cells[rows["cell"].to_numpy("int64")] = rows["n"].to_numpy("int64")
+    return sums.where("cell < 0").select("word", "n"), Vectors(cells)
 
 
-class Model(NamedTuple):
-    verdicts: DataFrame
-    frequent: object
-    vectors: object
+def _counted(words: list, cells, n) -> pd.DataFrame:
+    size = len(words)
+    return pd.DataFrame({"word": pd.Series(words, dtype="object"), "cell": pd.Series(np.broadcast_to(cells, size), dtype="int32"), "n": pd.Series(n, dtype="int64")})
 
 
-def learned(src: DataFrame) -> Model:
-    """Verdicts ``(word, kind, correction, sure)`` on every word and pair of halves that isn't what was printed."""
-    spark: SparkSession = src.sparkSession
-    counts = cut(word_counts(src))
-    top = counts.where((F.col("n") >= 2) & ~F.col("word").contains("\x00")).orderBy(F.col("n").desc(), "word").limit(FREQUENT_WORDS)
-    frequent = spark.sparkContext.broadcast({r.word: r.n for r in top.collect()})
+def verdicts(counts: DataFrame, vectors) -> DataFrame:
+    """``(word, n, kind, correction, sure)`` on every word and pair of halves that isn't what was printed.
+
+    A word asks for the counts of the words it may have been, in a join; asked for are
+    only those that a bitmap of all words seen twice doesn't rule out.
+    """
+    spark: SparkSession = counts.sparkSession
+    words = counts.where((F.col("n") >= 2) & ~F.col("word").contains("\x00") & ~F.col("word").startswith("\x01"))
+    shared = spark.sparkContext.broadcast(bitmap(words))
+    most = counts.agg(F.max("n")).first()[0] or 0
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lk = Linker(frequent.value)
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for b in batches:
             out = []
             for w, n in zip(b["word"], b["n"]):
-                if "\x00" in w:
-                    left, _, right = w.partition("\x00")
-                    if lk.judge(left, right):
-                        out.append((w, "broken", left + right, True))
-                elif v := lk.link(w, n):
-                    out.append((w, *v))
-            yield pd.DataFrame(out, columns=["word", "kind", "correction", "sure"])
-
-    verdicts = cut(counts.repartition(spark.sparkContext.defaultParallelism, "word").mapInPandas(link, "word string, kind string, correction string, sure boolean"))
-    return Model(verdicts, frequent, spark.sparkContext.broadcast(_vectors(src, verdicts, frequent.value)))
-
-
-def _vectors(src: DataFrame, verdicts: DataFrame, frequent: dict[str, int]) -> Vectors | None:
-    """Skip-gram vectors of the targets of links that frequency leaves open."""
-    open_ = verdicts.where("kind = 'glyph' AND NOT sure").select(F.col("correction").alias("w")).union(verdicts.where("kind = 'glyph' AND NOT sure").select("word"))
-    words = [r.w for r in open_.groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(VECTOR_WORDS).collect()]
-    if not words:
-        return None
-    at = src.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+                odd = "\x00" in w or w.startswith("\x01") or bool(_MIXED.search(w))
+                if odd or max(TARGET_LEAST, 8 * n) <= most:
+                    keys = asked_of(w, known)
+                    out += [(w, n, k) for k in keys]
+                    if not keys and odd:
+                        out.append((w, n, None))
+            yield pd.DataFrame({c: pd.Series([r[k] for r in out], dtype=t) for k, (c, t) in enumerate((("word", "object"), ("n", "int64"), ("key", "object")))})
+
+    asked = counts.repartition("word").mapInPandas(ask, "word string, n long, key string")
+    found = asked.join(words.select(F.col("word").alias("key"), F.col("n").alias("k")), "key", "left")
+    # a word asks for a bounded number of others
+    per = found.groupBy("word", "n").agg(F.collect_list(F.struct("key", "k")).alias("known"))
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for w, n, known in zip(b["word"], b["n"], b["known"]):
+                v = Linker({x["key"]: int(x["k"]) for x in known if x["k"] is not None and not pd.isna(x["k"])}, vectors.value).verdict(w, n)
+                if v:
+                    out.append((w, n, *v))
+            kinds = (("word", "object"), ("n", "int64"), ("kind", "object"), ("correction", "object"), ("sure", "bool"))
+            yield pd.DataFrame({c: pd.Series([r[k] for r in out], dtype=t) for k, (c, t) in enumerate(kinds)})
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = at.value
-        m = np.zeros((len(ids), CONTEXTS), dtype=np.int64)
+    return cut(per.mapInPandas(judged, "word string, n long, kind string, correction string, sure boolean"))
+
+
+_OCCURRENCE = "row long, rec_kind string, rec_id long, line int, defect string, k int, raw string, word string, around array<int>, first boolean, correction string"
+
+
+def occurrences(src: DataFrame) -> DataFrame:
+    """``(row, rec_kind, rec_id, line, defect, k, raw, piece, correction)`` of all defects.
+
+    ``k`` counts a page's words, ``raw`` is the word as it stands there and ``piece`` the
+    part of it that ``correction`` replaces.
+    """
+    spark: SparkSession = src.sparkSession
+    counts, learned = statistics(src)
+    vectors = spark.sparkContext.broadcast(learned)
+    known = verdicts(counts, vectors)
+    shared = spark.sparkContext.broadcast(bitmap(known))
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = shared.value
         for b in batches:
-            for text, skip in zip(b["text"], b["skip"]):
-                toks = [t.word.lower() for t in _page(text, skip).tokens]
-                for k, w in enumerate(toks):
-                    if (i := ids.get(w)) is not None:
-                        for c in toks[max(0, k - WINDOW) : k] + toks[k + 1 : k + 1 + WINDOW]:
-                            m[i, bucket(c)] += 1
-        kept = np.nonzero(m.sum(axis=1))[0]
-        yield pd.DataFrame({"i": kept.astype("int64"), "v": pd.Series([m[i].tolist() for i in kept], dtype="object")})
-
-    parts = src.select("text", "skip").mapInPandas(each, "i long, v array<long>")
-    rows = parts.groupBy("i").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(CONTEXTS))).alias("v")).collect()
-    m = np.zeros((len(words), CONTEXTS))
-    for r in rows:
-        m[r.i] = r.v
-    return Vectors(words, m)
-
-
-def _misread(t: Token, verdicts: dict[str, tuple], frequent: dict[str, int], vectors: Vectors | None, around: list[str]) -> str | None:
-    """What the token was, if it isn't what was printed."""
-    if _NUMERIC.match(t.word):
-        return t.word.translate(_TO_DIGIT)
-    m = re.fullmatch(r"([a-z]{1,12})([A-Z][a-z]{2,})", t.word)
-    if m and frequent.get(m[1], 0) >= 50 and frequent.get(t.word.lower(), 0) * 4 < frequent.get(m[2].lower(), 0):
-        return f"{m[1]} {m[2]}"
-    out, hit = t.word, False
-    for p in _pieces(t.word):
-        v = verdicts.get(p)
-        if v is None:
-            continue
-        kind, true, sure = v
-        if not sure and vectors is not None and vectors.fits(true, around) < vectors.fits(p, around) - 0.7:
-            continue
-        hit = True
-        k = out.lower().find(p)
-        new = true.capitalize() if out[k : k + 1].isupper() else true
-        out = out[:k] + new + out[k + len(p) :]
-    return out if hit else None
-
-
-def _verdict_pieces(model: Model) -> Iterator[dict[str, tuple]]:
-    n = model.verdicts.count()
-    pieces = max(1, -(-n // VERDICTS))
-    for k in range(pieces):
-        part = model.verdicts if pieces == 1 else model.verdicts.where(F.pmod(F.xxhash64("word"), F.lit(pieces)) == k)
-        yield {r.word: (r.kind, r.correction, r.sure) for r in part.collect()}
-
-
-def _defects(page: Page, verdicts: dict, frequent: dict, vectors: Vectors | None, image: bool) -> set[tuple[int, str]]:
-    out = {(i, "furniture") for i in page.skip}
-    for i, left, right in page.broken:
-        if verdicts.get(key_of(left, right), ("",))[0] == "broken":
-            out.add((i, "hyphen"))
-    toks = page.tokens
-    for k, t in enumerate(toks):
-        if t.word.isalpha() and verdicts.get(t.word.lower()) is None and not (t.word[0].islower() and not t.word.islower()):
-            continue
-        if image and k == 0 and t.word[0].islower() and t.word.isalpha() and not frequent.get(t.word, 0) > 5:
-            continue  # may be the rest of a word that the page before broke
-        around = [x.word.lower() for x in toks[max(0, k - WINDOW) : k] + toks[k + 1 : k + 1 + WINDOW]]
-        if _misread(t, verdicts, frequent, vectors, around) is not None:
-            out.add((t.line, "misread"))
-    return out
+            out = []
+            for row, kind, rec, text, skip in zip(b["row"], b["rec_kind"], b["rec_id"], b["text"], b["skip"]):
+                page = _page(text, skip)
+                out += [(row, kind, rec, i, "furniture", -1, None, None, None, False, None) for i in sorted(page.skip)]
+                out += [(row, kind, rec, i, "hyphen", -1, None, key, None, False, None) for i, left, right in page.broken if (key := key_of(left, right)) in at]
+                toks = page.tokens
+                for k, t in enumerate(toks):
+                    if _NUMERIC.match(t.word):
+                        out.append((row, kind, rec, t.line, "misread", k, t.word, None, None, False, t.word.translate(_TO_DIGIT)))
+                        continue
+                    m = _RUN_IN.fullmatch(t.word)
+                    asked = [w for w in (*([run_in_key(m)] if m else ()), *([t.word.lower()] if t.word.isalpha() else _pieces(t.word))) if w in at]
+                    if asked:
+                        around = [context(x.word.lower()) for x in toks[max(0, k - WINDOW) : k] + toks[k + 1 : k + 1 + WINDOW]]
+                        # the first word of an image may be the rest of one that the page before broke
+                        first = kind == "image" and k == 0 and t.word[0].islower() and t.word.isalpha()
+                        out += [(row, kind, rec, t.line, "misread", k, t.word, w, around, first, None) for w in asked]
+            kinds = ("int64", "object", "int64", "int32", "object", "int32", "object", "object", "object", "bool", "object")
+            yield pd.DataFrame({c.split()[0]: pd.Series([r[k] for r in out], dtype=t) for k, (c, t) in enumerate(zip(_OCCURRENCE.split(", "), kinds))})
+
+    @F.pandas_udf("boolean")
+    def fits(w: pd.Series, true: pd.Series, around: pd.Series) -> pd.Series:
+        v = vectors.value
+        return pd.Series([v.fits(b, c) >= v.fits(a, c) - 0.7 for a, b, c in zip(w, true, around)], dtype="bool")
+
+    rows = cut(src.mapInPandas(seen, _OCCURRENCE))
+    cols = ("row", "rec_kind", "rec_id", "line", "defect", "k", "raw")
+    sure = rows.where("word IS NULL").select(*cols, F.col("word").alias("piece"), "correction")
+    told = rows.where("word IS NOT NULL").drop("correction").join(known, "word").where(~(F.col("first") & (F.col("n") <= 5)))
+    plain_ = told.where("sure").select(*cols, F.col("word").alias("piece"), "correction")
+    open_ = told.where("NOT sure").where(fits("word", "correction", "around")).select(*cols, F.col("word").alias("piece"), "correction")
+    return sure.unionByName(plain_).unionByName(open_)
 
 
 def defects(files: DataFrame | None, images: DataFrame | None) -> DataFrame:
@@ -546,42 +704,37 @@ def defects(files: DataFrame | None, images: DataFrame | None) -> DataFrame:
 
     ``defect`` is ``hyphen``, ``misread`` or ``furniture``; a furniture line has no other.
     Null, empty and blank texts have no rows; rows of one id are told once; extra columns
-    are ignored. Word statistics are those of all pages given.
+    are ignored. Word statistics are those of all pages given. A run of more than
+    ``LONGEST_WORD`` characters is no word and never misread.
     """
-    src = cut(pages(files, images))
-    model = learned(src)
-    known, vectors = model.frequent, model.vectors
-    out = None
-    for verdicts in _verdict_pieces(model):
-        shared = src.sparkSession.sparkContext.broadcast(verdicts)
-
-        def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = []
-                for kind, rec, text, skip in zip(b["rec_kind"], b["rec_id"], b["text"], b["skip"]):
-                    found = _defects(_page(text, skip), shared.value, known.value, vectors.value, kind == "image")
-                    rows += [(kind, rec, i + 1, d) for i, d in sorted(found)]
-                yield pd.DataFrame(rows, columns=["rec_kind", "rec_id", "line_no", "defect"])
-
-        part = src.mapInPandas(each, "rec_kind string, rec_id long, line_no long, defect string")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
-
-
-def corrected(page: Page, verdicts: dict, frequent: dict, vectors: Vectors | None) -> str:
+    found = occurrences(pages(files, images))
+    return found.select("rec_kind", "rec_id", (F.col("line") + 1).cast("long").alias("line_no"), "defect").distinct()
+
+
+def corrected(page: Page, fixes) -> str:
     """The text with its words corrected line by line, and the hyphens of broken words marked."""
-    fixes: dict[int, list[tuple[str, str]]] = {}
-    toks = page.tokens
-    for k, t in enumerate(toks):
-        around = [x.word.lower() for x in toks[max(0, k - WINDOW) : k] + toks[k + 1 : k + 1 + WINDOW]]
-        if (v := _misread(t, verdicts, frequent, vectors, around)) is not None and v != t.word:
-            fixes.setdefault(t.line, []).append((t.word, v))
+    words: dict[int, str] = {}
+    broken = set()
+    for f in fixes:
+        if f["defect"] == "hyphen":
+            broken.add(f["line"])
+            continue
+        k = f["k"]
+        if (piece := f["piece"]) is None or piece.startswith("\x01"):
+            words[k] = f["correction"]
+            continue
+        at = words.get(k, f["raw"])
+        i = at.lower().find(piece)
+        if i >= 0:
+            new = f["correction"].capitalize() if at[i : i + 1].isupper() else f["correction"]
+            words[k] = at[:i] + new + at[i + len(piece) :]
     lines = list(page.lines)
-    for i, changes in fixes.items():
-        for a, b in changes:
-            lines[i] = lines[i].replace(a, b, 1)
-    for i, left, right in page.broken:
-        if right and verdicts.get(key_of(left, right), ("",))[0] == "broken":
+    for k in sorted(words):
+        t = page.tokens[k]
+        if words[k] != t.word:
+            lines[t.line] = lines[t.line].replace(t.word, words[k], 1)
+    for i, _, right in page.broken:
+        if right and i in broken:
             lines[i] = re.sub(rf"[{_HY}]\s*$", BROKEN, lines[i])
     return "\n".join(lines)
 
@@ -612,29 +765,21 @@ def reflowed(page: Page) -> str:
     return "\n\n".join(paragraphs).replace(BROKEN, "-")
 
 
-def _corrector(shared, known, vectors):
-    """A column function over text and furniture that corrects by one table of verdicts."""
-
-    @F.pandas_udf("string")
-    def each(text: pd.Series, skip: pd.Series) -> pd.Series:
-        return pd.Series([corrected(_page(t, s), shared.value, known.value, vectors.value) for t, s in zip(text, skip)], dtype="object")
-
-    return each
-
-
 def repaired(files: DataFrame | None, images: DataFrame | None) -> DataFrame:
     """``(rec_kind, rec_id, text)``: every document and page image as continuous paragraphs."""
-    src = cut(pages(files, images))
-    model = learned(src)
-    known, vectors = model.frequent, model.vectors
-    out = src
-    for verdicts in _verdict_pieces(model):
-        shared = src.sparkSession.sparkContext.broadcast(verdicts)
-
-        out = out.withColumn("text", _corrector(shared, known, vectors)("text", "skip"))
+    src = pages(files, images)
+    found = occurrences(src).where("defect <> 'furniture'")
+    # the defects of one text
+    fixes = found.groupBy("row").agg(F.collect_list(F.struct("line", "defect", "k", "raw", "piece", "correction")).alias("fixes"))
 
     @F.pandas_udf("string")
-    def joined(text: pd.Series, skip: pd.Series) -> pd.Series:
-        return pd.Series([reflowed(_page(t, s)) for t, s in zip(text, skip)], dtype="object")
-
-    return out.select("rec_kind", "rec_id", joined("text", "skip").alias("text"))
+    def mended(text: pd.Series, skip: pd.Series, fix: pd.Series) -> pd.Series:
+        out = []
+        for t, s, f in zip(text, skip, fix):
+            page = _page(t, s)
+            if f is not None:
+                page = _page(corrected(page, f), s)
+            out.append(reflowed(page))
+        return pd.Series(out, dtype="object")
+
+    return src.join(fixes, "row", "left").select("rec_kind", "rec_id", mended("text", "skip", "fixes").alias("text"))

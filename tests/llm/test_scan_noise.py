@@ -34,14 +34,33 @@ def test_repair(spark):
     assert out[900] == "the parliament of the island met in the morning and the session was long.\n\nevery archive needs a keeper and this one had none."
 
 
-def test_pieces_of_verdicts_give_the_same(spark, monkeypatch):
+def test_full_bitmaps_give_the_same(spark, monkeypatch):
+    """A bitmap only saves asking: one that says yes to everything changes nothing."""
     page = "the parl-\niament of tbe island met in the morning andthe session\nwas long."
     df = frame(spark, [*corpus(), (900, 1, "x.pdf", page)])
-    text = {r.rec_id: r.text for r in N.repaired(df, None).collect()}[900]
     rows = sorted(map(tuple, N.defects(df, None).collect()))
-    monkeypatch.setattr(N, "VERDICTS", 1)
-    assert {r.rec_id: r.text for r in N.repaired(df, None).collect()}[900] == text == "the parliament of the island met in the morning and the session was long."
-    assert sorted(map(tuple, N.defects(df, None).collect())) == rows
+    monkeypatch.setattr(N, "bitmap", lambda words: N.Bitmap(slice(None), -1))
+    assert sorted(map(tuple, N.defects(df, None).collect())) == rows and any(r[1] == 900 for r in rows)
+
+
+def test_vectors_bring_words_of_like_contexts_together():
+    import random
+
+    rng = random.Random(2)
+    sea, law = ["harbour", "sailor", "anchor", "vessel"], ["statute", "verdict", "clause", "tribunal"]
+    runs = [[x for _ in range(6) for x in (rng.choice(g), rng.choice(("quiet", "windy") if g is sea else ("strict", "final")))] for g in (sea, law) for _ in range(300)]
+    v = N.Vectors(N.pair_counts(runs))
+    near = N.cosine(v.word("sailor"), v.word("anchor"))
+    assert near > N.cosine(v.word("sailor"), v.word("clause")) + 0.3
+    windy = [N.context("windy")]
+    assert v.fits("anchor", windy) > v.fits("clause", windy) and v.fits("anchcr", windy) > v.fits("clausc", windy)
+    lk = N.Linker({"anchor": 900, "anchcr": 1, "clause": 900}, v)
+    assert lk.link("anchcr", 1)[:2] == ("glyph", "anchor")
+
+
+def test_very_long_runs_are_no_words(spark):
+    df = frame(spark, [*corpus(), (900, 1, "x.pdf", "the session " + "rn" * 50_000 + " was long"), (901, 1, "y.pdf", "a" * 20_000 + "-\n" + "b" * 20_000)])
+    assert {(r.rec_id, r.defect) for r in N.defects(df, None).collect() if r.rec_id >= 900} <= {(901, "hyphen")}
 
 
 def test_empty(spark):
