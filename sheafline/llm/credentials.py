@@ -1,11 +1,14 @@
 """Credentials inside source and configuration files.
 
 A file is scanned for tokens of known shape, for literals that are given to a name,
-header, URL or login that grants something, and for key containers. Quoted literals
-that may hold an encoding (base64, hex, percent, backslash escapes) are decoded layer
-by layer and what comes out is scanned again; binary layers are parsed by the grammar
-of their container (DER, OpenSSH). A hit inside an encoding marks the enclosing literal,
+header, URL or login that grants something, and for key containers. Every run of
+characters that may be an encoding (base64, hex, percent, backslash escapes) - quoted or
+not, wrapped over lines or put together from several literals - is decoded layer by layer,
+and what comes out is scanned again; binary layers are parsed by the grammar of their
+container (DER, PKCS#12, OpenSSH). A hit inside an encoding marks the enclosing literal,
 so that redaction replaces literals as wholes and the code around them still parses.
+
+A layer is always shorter than what it is decoded from, so any depth is followed.
 """
 
 from __future__ import annotations
@@ -25,8 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REDACTED = "REDACTED"
-#: Encodings inside each other that are followed.
-LAYERS = 5
 
 # fixed values: shapes of issued tokens
 TOKENS = re.compile(
@@ -40,7 +41,7 @@ _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|(?<=\\n)[A-Za-z0-9+/]+={0,2}(?=\\n)")
 _FILLED = re.compile(r"[^\n]")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://([^\s:/@\"'`]*):([^\s@\"'`]{1,200})@(?=[\w\[])")
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://([^\s:/@\"'`]*):((?:(?!://)[^\s@\"'`])+)@(?=[\w\[])")
 _PARAM = re.compile(r"[?&](?:[\w.-]*(?:token|key|secret|password|passwd|pwd|auth|signature|sig))=([^&\s\"'`#]{8,})", re.I)
 _HEADER = re.compile(r"\b(?:proxy-)?authorization[\"']?\s*[:=,]\s*[\"']?(bearer|basic|token|apikey|digest)\s+([^\s\"'`,;]+)|\bx-(?:api-key|auth-token|access-token|amz-security-token|vault-token)[\"']?\s*[:=,]\s*[\"']?([^\s\"'`,;]+)", re.I)
 _LOGIN = re.compile(r"\bmachine\s+\S+\s+login\s+\S+\s+pass(?:wd|word)\s+(\S+)|^\s*pass(?:wd|word)\s+(\S+)\s*$", re.I)
@@ -93,7 +94,14 @@ _STOP = frozenset("a an the is are be was were of to in on at by for from with a
 _NAME_LINE = re.compile(r"[\s{\[-]*[\"']?name[\"']?\s*:\s*[\"']?([\w.-]+)[\"']?\s*,?\s*$")
 _VALUE_LINE = re.compile(r"\s*[\"']?value[\"']?\s*:\s*(?:([\"'])(?P<v>.*)\1|(?P<w>[^\s\"'#][^#\n]*?))\s*,?\s*(?:#.*)?$")
 _JOIN = re.compile(r"\s*(?:\+|\.|\\?\n)?\s*([\"'`])")
-_LITERAL = re.compile(r"([\"'`])((?:[A-Za-z0-9+/_=-]|%[0-9A-Fa-f]{2}|\\[xu][0-9A-Fa-f]{2,4}){24,})\1")
+#: Runs that may be an encoding: of one alphabet, with percent escapes, and literals with backslash escapes.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_PERCENT = re.compile(r"(?<![^\s\"'`<>=])[^\s\"'`<>=%]*(?:%[0-9A-Fa-f]{2}[^\s\"'`<>=%]*){3,}")
+_ESCAPED = re.compile(r"([\"'])((?:[^\"'\\\n]|\\.)*?\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{2,3})(?:[^\"'\\\n]|\\.)*)\1")
+#: One encoding in several pieces: lines of base64, and literals side by side or joined by a sign.
+_WRAPPED = re.compile(r"(?:^[ \t]*(?:#|//|\*)?[ \t]*[A-Za-z0-9+/]{40,}[ \t]*\r?\n)+[ \t]*(?:#|//|\*)?[ \t]*[A-Za-z0-9+/]{4,}={0,2}[ \t]*\r?$", re.M)
+_JOINED = re.compile(r"([\"'])[A-Za-z0-9+/_=-]{8,}\1(?:\s*[+.,\\]?\s*([\"'])[A-Za-z0-9+/_=-]{2,}\2)+")
+_PIECE = re.compile(r"[A-Za-z0-9+/_=-]{2,}")
 
 
 class Finding(NamedTuple):
@@ -149,10 +157,31 @@ def _der(b: bytes, at: int = 0) -> tuple[int, int, int] | None:
     return (tag, p, p + n) if p + n <= len(b) else None
 
 
+def _openssh(b: bytes) -> bool:
+    """Whether ``b`` is cipher, derivation and its options, as many public keys as are counted, and the private section."""
+    at = len(b"openssh-key-v1\0")
+
+    def field(at: int) -> int:
+        n = int.from_bytes(b[at : at + 4], "big")
+        return at + 4 + n if at + 4 <= len(b) and at + 4 + n <= len(b) else -1
+
+    for _ in range(3):
+        if (at := field(at)) < 0:
+            return False
+    n = int.from_bytes(b[at : at + 4], "big")
+    at += 4
+    if not 1 <= n <= len(b):
+        return False
+    for _ in range(n + 1):
+        if (at := field(at)) < 0:
+            return False
+    return True
+
+
 def private_container(b: bytes) -> str | None:
-    """``pkcs8``, ``pkcs1``, ``sec1`` or ``openssh`` if the bytes are a private key of that grammar."""
+    """``pkcs8``, ``pkcs1``, ``sec1``, ``pkcs12`` or ``openssh`` if the bytes are a private key of that grammar."""
     if b.startswith(b"openssh-key-v1\0"):
-        return "openssh"
+        return "openssh" if _openssh(b) else None
     top = _der(b)
     if not top or top[0] != 0x30:
         return None
@@ -167,6 +196,8 @@ def private_container(b: bytes) -> str | None:
         return "pkcs1"
     if tags[:2] == [0x02, 0x04] and kids[0][1] == b"\1":
         return "sec1"
+    if tags[:2] == [0x02, 0x30] and len(tags) in (2, 3) and set(tags[2:]) <= {0x30} and kids[0][1] == b"\3" and kids[1][1].startswith(b"\x06\x09\x2a\x86\x48\x86\xf7\x0d\x01\x07"):
+        return "pkcs12"
     if tags[:2] == [0x30, 0x04] and len(tags) == 2 and b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d" in kids[0][1]:
         return "pkcs8"
     return None
@@ -176,7 +207,7 @@ def decoded(s: str) -> Iterator[bytes]:
     """Every reading of ``s`` as one layer of an encoding."""
     if "%" in s and re.search(r"%[0-9A-Fa-f]{2}", s):
         yield unquote_to_bytes(s)
-    if "\\x" in s or "\\u" in s:
+    if re.search(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{2,3})", s):
         try:
             yield s.encode("latin-1", "replace").decode("unicode_escape").encode("utf-8", "replace")
         except UnicodeDecodeError:
@@ -200,20 +231,24 @@ def _printable(b: bytes) -> str | None:
     return s if len(s) >= 8 and all(c.isprintable() or c in "\t\r\n" for c in s) else None
 
 
-def hidden(s: str, layers: int = LAYERS) -> str | None:
-    """The kind of credential under the encodings of ``s``."""
-    if layers == 0:
-        return None
+def hidden(s: str) -> str | None:
+    """The kind of credential under the encodings of ``s``.
+
+    A value that stands in ``s`` as it is was there for the plain scan to judge; only what
+    gives its form to it (a URL, a key, a token) may have been hidden around it.
+    """
     for b in decoded(s):
         if kind := private_container(b):
             return kind
-        if text := _printable(b):
-            if text == s:
-                continue
-            if found := next(scan("", text, layers - 1), None):
-                return found.kind
-            if kind := hidden(text.strip(), layers - 1):
-                return kind
+        text = _printable(b)
+        if text is None or text == s:
+            continue
+        text = f" {text}"
+        for f in scan("", text):
+            if f.kind != "assigned" or text[f.start : f.end] not in s:
+                return f.kind
+        if len(b) < len(s) and (kind := hidden(text.strip())):
+            return kind
     return None
 
 
@@ -326,13 +361,13 @@ def _key_end(text: str, at: int) -> int:
     return min(end, limit)
 
 
-def scan(path: str, text: str, layers: int = LAYERS) -> Iterator[Finding]:
-    """Every credential of a file; findings may overlap."""
+def scan(path: str, text: str, layers: bool = True) -> Iterator[Finding]:
+    """Every credential of a file; findings may overlap. ``layers``: whether encodings are looked into."""
     bare_ok = _config(path) if path else True
     low = text.lower()
     if len(low) != len(text):  # lower-casing changed positions
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    at, n, whole = 0, len(text), text
+    at, n = 0, len(text)
     while hit := _HINT.search(low, at):
         s = low.rfind("\n", 0, hit.start()) + 1
         e = low.find("\n", hit.start())
@@ -393,9 +428,28 @@ def scan(path: str, text: str, layers: int = LAYERS) -> Iterator[Finding]:
             if not placeholder(m[1]):
                 yield Finding(m.start(1), m.end(1), "login", ((m.start(1), m.end(1)),))
     if layers:
-        for m in _LITERAL.finditer(whole):
-            if not m[2].startswith(("sha256-", "sha384-", "sha512-")) and hidden(m[2], layers):
-                yield Finding(m.start(2), m.end(2), "encoded", ((m.start(2), m.end(2)),))
+        yield from _encoded(text)
+
+
+def _encoded(text: str) -> Iterator[Finding]:
+    """Encodings with a credential inside; ``text`` has the keys already found blanked."""
+    taken: list[tuple[int, int]] = []
+    # the longest readings first: what is part of one isn't read again
+    for pattern in (_WRAPPED, _JOINED):
+        for m in pattern.finditer(text):
+            spans = tuple((m.start() + p.start(), m.start() + p.end()) for p in _PIECE.finditer(m[0]))
+            whole = "".join(text[a:z] for a, z in spans)
+            if len(spans) > 1 and hidden(whole):
+                taken.append((m.start(), m.end()))
+                yield Finding(spans[0][0], spans[-1][1], "encoded", spans)
+    for pattern, k in ((_ESCAPED, 2), (_PERCENT, 0), (_RUN, 0)):
+        for m in pattern.finditer(text):
+            a, z = m.span(k)
+            if text[a : a + 7] in ("sha256-", "sha384-", "sha512-") or any(x <= a and z <= y for x, y in taken):
+                continue
+            if hidden(m[k]):
+                taken.append((a, z))
+                yield Finding(a, z, "encoded", ((a, z),))
 
 
 def lines_with_credentials(path: str | None, text: str | None) -> list[int]:

@@ -57,7 +57,11 @@ def test_containers():
     pkcs1 = der(0x30, b"".join(der(2, bytes([i + 1]) * 20) for i in range(9)))
     assert C.private_container(der(0x30, der(2, b"\0") + oid + der(4, pkcs1))) == "pkcs8"
     assert C.private_container(pkcs1) == "pkcs1" and C.private_container(der(0x30, der(2, b"\1") + der(4, b"x" * 32))) == "sec1"
-    assert C.private_container(b"openssh-key-v1\0rest") == "openssh"
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"public") + field(b"private")
+    assert C.private_container(ssh) == "openssh" and C.private_container(ssh[:-1]) is None and C.private_container(b"openssh-key-v1\0garbage") is None
+    data = der(0x30, der(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x01") + der(0xA0, der(4, b"x" * 90)))
+    assert C.private_container(der(0x30, der(2, b"\3") + data + der(0x30, b"m" * 30))) == "pkcs12" and C.private_container(der(0x30, der(2, b"\1") + data)) is None
     assert C.private_container(der(0x30, oid + der(3, b"x" * 60))) is None and C.private_container(b"\x30\x82\xff") is None and C.private_container(b"") is None
     assert C.lines_with_credentials("k.txt", f'k = "{base64.b64encode(pkcs1).decode()}"') == [1]
 
@@ -81,3 +85,38 @@ def test_around_private_keys():
     assert body not in C.redact("k.asc", long) and C.lines_with_credentials("k.asc", long) == [1]
     # a key without an end doesn't take what follows
     assert C.redact("a.py", f"# -----BEGIN PRIVATE KEY-----\n# {body}\nx = 1\nsomeIdentifierOfLength()\n").endswith("\nx = 1\nsomeIdentifierOfLength()\n")
+
+
+def test_encodings_without_quotes_and_in_pieces():
+    b = lambda s: base64.b64encode(s.encode()).decode()
+    inner = "password: Xk29fjQ8vLm3\n"
+    rows = b(inner * 9)
+    wrapped = "\n".join("    " + rows[i : i + 64] for i in range(0, len(rows), 64))
+    deep = inner
+    for _ in range(9):
+        deep = b(deep)
+    octal = "".join(f"\\{c:03o}" for c in b"password=Xk29fjQ8v")
+    for path, text, clean in (
+        ("secret.yaml", f"data:\n  config: {b(inner)}\n", f"data:\n  config: {C.REDACTED}\n"),
+        (".env", f"CFG={b('DB_PASSWORD=Xk29fjQ8vLm3!')}\n", f"CFG={C.REDACTED}\n"),
+        ("a.js", f'x = "{b(inner)[:16]}" +\n    "{b(inner)[16:]}";', f'x = "{C.REDACTED}" +\n    "{C.REDACTED}";'),
+        ("a.py", "u = 'postgres%3A%2F%2Fu%3As3cretPw9%40db.host%2Fx'", f"u = '{C.REDACTED}'"),
+        ("a.c", f'char *k = "{octal}";', f'char *k = "{C.REDACTED}";'),
+        ("a.py", f"k = '{b('pw=Xk29fjQ8vLm3')}'", f"k = '{C.REDACTED}'"),
+        ("a.py", f"k = '{deep}'", f"k = '{C.REDACTED}'"),
+    ):
+        assert len(C.lines_with_credentials(path, text)) == 1 and C.redact(path, text) == clean, text
+    text = f"key: |\n{wrapped}\nnext: 1\n"
+    assert C.lines_with_credentials("a.yml", text) == [2] and C.redact("a.yml", text).count(C.REDACTED) == wrapped.count("\n") + 1
+    for harmless in (f"a: {b('just some harmless words in here')}", "url = '/search?q=a%20b%20c%20d&page=2'", "x = '\\x1b[31m\\x1b[0m'", "ThisIsALongIdentifierWithoutAnyMeaning()"):
+        assert C.lines_with_credentials("a.py", harmless) == [], harmless
+
+
+def test_long_passwords_and_lines_take_linear_time():
+    import time
+
+    assert C.lines_with_credentials("a.cfg", "dsn=mongodb://admin:" + "aB3d" * 200 + "@h.test/x") == [1]
+    start = time.process_time()
+    for text in ("http://a:" * 60_000, "x%41" * 100_000, "'ab\\x41" * 60_000, "a" * 400_000, "QUFB" * 100_000):
+        C.lines_with_credentials("a.cfg", text)
+    assert time.process_time() - start < 60
