@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,13 +150,27 @@ def recognition_floor(confidence: Column, text: Column) -> Column:
     return F.coalesce((confidence >= 55) & (letters >= 8), F.lit(False))
 
 
+def code_points(c: Column, pattern: str) -> Column:
+    """``c`` with what ``pattern`` finds - its group a decimal number - as the character of that number."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    n = lambda x: F.coalesce(x.try_cast("int"), F.lit(0x110000))
+    char = lambda x: F.when((n(x) >= 0x110000) | n(x).between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n(x)), 8, "0")), "UTF-32"))
+    pieces = F.split(c, re.sub(r"\((?!\?)", "(?:", pattern))
+    return F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.when(F.get(found, i).isNull(), "").otherwise(char(F.get(found, i))))), "")
+
+
+# fixed values: block tags that end a line, and named entities, of HTML bodies
+HTML_BREAKS = r"(?i)</?(?:p|div|br|tr|li|h[1-6]|blockquote|table)\b[^>]*>"
+HTML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def html_text(c: Column) -> Column:
-    """Flattened HTML (E5); numeric entities of the first 65,536 code points only in this Column form."""
+    """Flattened HTML: block tags as line ends, other tags gone, numeric and named entities of any case decoded (E5)."""
     t = F.regexp_replace(c, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", "")
-    t = F.regexp_replace(t, r"(?i)</?(?:p|div|br|tr|li|h[1-6]|blockquote|table)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
+    t = F.regexp_replace(F.regexp_replace(t, HTML_BREAKS, "\n"), r"<[^>]+>", "")
+    t = code_points(t, r"&#(\d+);")
+    for a, b in HTML_ENTITIES:
+        t = F.regexp_replace(t, f"(?i){a}", b)
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n ?", "\n")
     return trimmed(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
@@ -210,16 +226,67 @@ def lead_paragraph(text: Column) -> Column:
 
 
 # fixed values: error names that are told as they are
-ERROR_NAMES = ("TypeError", "ReferenceError", "RangeError", "SyntaxError", "SecurityError", "NetworkError", "AbortError", "QuotaExceededError", "NotFoundError", "DataCloneError")
+ERROR_NAMES = (
+    "error", "typeerror", "rangeerror", "referenceerror", "syntaxerror", "urierror", "evalerror", "aggregateerror", "quotaexceedederror", "notallowederror", "aborterror", "securityerror",
+    "networkerror", "notsupportederror", "datacloneerror",
+)
+# fixed values: messages of a script that didn't load, and of another origin's script
+CHUNK_MESSAGE = r"(?i)dynamically imported module|importing a module script|loading chunk"
+FOREIGN_MESSAGE = "Script error."
 
 
 def error_kind(message: Column, name: Column) -> Column:
     """``chunk`` for a script that didn't load, ``foreign`` for another origin's, a known name, or ``other``."""
     m = F.coalesce(message, F.lit(""))
-    return (
-        F.when(m.rlike(r"(?i)loading (?:css )?chunk|dynamically imported module|importing a module script failed|error loading dynamically"), "chunk")
-        .when(F.trim(m) == "Script error.", "foreign").when(name.isin(*ERROR_NAMES), F.lower(name)).otherwise("other")
-    )
+    return F.when(m.rlike(CHUNK_MESSAGE), "chunk").when(m == FOREIGN_MESSAGE, "foreign").when(F.lower(name).isin(*ERROR_NAMES), F.lower(name)).otherwise("other")
+
+
+def error_label(source: Column, message: Column, name: Column) -> Column:
+    """Where an error surfaced, and its kind."""
+    return F.concat(source, F.lit("/"), error_kind(message, name))
+
+
+# -- prices and limits of models ---------------------------------------------------------------
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A number with so many decimals, halves away from zero."""
+    return F.format_string(f"%.{places}f", F.round(x, places))
+
+
+def format_cost(x: Column) -> Column:
+    """An amount with more decimals the smaller it is."""
+    d = F.lit("$")
+    return F.when(x == 0, "$0.00").when(x < 0.001, F.concat(d, fixed(x, 6))).when(x < 0.01, F.concat(d, fixed(x, 4))).when(x < 1, F.concat(d, fixed(x, 3))).otherwise(F.concat(d, fixed(x, 2)))
+
+
+def format_limit(n: Column) -> Column:
+    """Tokens in millions with a decimal, in whole thousands, or as they are."""
+    return F.when(n >= 1_000_000, F.concat(fixed(n / 1e6, 1), F.lit("M"))).when(n >= 1000, F.concat(fixed(n / 1000.0, 0), F.lit("K"))).otherwise(n.cast("string"))
+
+
+def format_price(price_in: Column, price_out: Column) -> Column:
+    """A model's input price for a list."""
+    d = F.lit("$")
+    return F.when((price_in == 0) & (price_out == 0), "Pricing N/A").when(price_in == 0, "Free").when(price_in < 0.01, F.concat(d, fixed(price_in, 4))).otherwise(F.concat(d, fixed(price_in, 2)))
+
+
+def best_score(query: Column, *fields: Column) -> Column:
+    """The fuzzy score of the first of several fields that has one."""
+    return F.coalesce(*(fuzzy_score(query, f) for f in fields))
+
+
+# fixed values: hosts that answer requests from other sites
+RAW_HOSTS = ("raw.githubusercontent.com", "gist.githubusercontent.com", "gitlab.com", "pastebin.com", "hastebin.com", "cdn.jsdelivr.net", "unpkg.com", "cdnjs.cloudflare.com")
+
+
+def may_refuse_other_sites(url: Column) -> Column:
+    """Whether a host isn't known to answer requests from other sites; an address that can't be read may not."""
+    h = F.coalesce(host(url), F.lit(""))
+    known = F.lit(False)
+    for x in RAW_HOSTS:
+        known = known | h.contains(x)
+    return ~known
 
 
 # fixed values: recognition model of a locale

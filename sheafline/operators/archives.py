@@ -78,3 +78,15 @@ def expanded(files: DataFrame, id_col: str = "ord") -> DataFrame:
 
     src = files.select(F.col(id_col).cast("long").alias("i"), "path", "archive", "content")
     return src.mapInPandas(each, "ord long, path string, archive_path string, content binary, depth int, error string")
+
+
+def opened(files: DataFrame, expand: bool = True, id_col: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """Entries of archives, and the archives that stay as they are.
+
+    Where ``expand`` is off every archive stays a file. Kinds that can't be opened are
+    never dropped: they stay visible, with a count beside what they would have held.
+    """
+    can = F.col("kind").isin("zip", "tar", "gz")
+    if not expand:
+        return expanded(files.limit(0), id_col), files
+    return expanded(files.where(can), id_col), files.where(~F.coalesce(can, F.lit(False)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import canonical_key
+from ..functions.scalars import canonical_key, format_cost
 
 
 def matched(catalog: DataFrame, offers: DataFrame, name: str, offer_name: str, keep: Column | None = None) -> DataFrame:
@@ -71,6 +71,54 @@ def total_price(units_in: Column, units_out: Column | None, price_in: Column, pr
     return units_in / per * price_in + out / per * price_out
 
 
+def text_to_text(inputs: Column, outputs: Column) -> Column:
+    """Whether a model reads and writes text."""
+    return F.coalesce(F.array_contains(inputs, "text") & F.array_contains(outputs, "text"), F.lit(False))
+
+
+def priced(*costs: Column) -> Column:
+    """Whether any cost is above nothing."""
+    out = F.lit(False)
+    for c in costs:
+        out = out | (F.coalesce(c, F.lit(0.0)) > 0)
+    return out
+
+
+def cost_table(models: DataFrame, tokens: int, output_ratio: float = 0.1) -> DataFrame:
+    """``models`` with ``inputCost``, ``outputCost`` and ``totalCost`` of so many tokens in (C4)."""
+    out = int(tokens * output_ratio + 0.5)
+    a, b = F.lit(tokens / 1e6) * F.col("input_cost"), F.lit(out / 1e6) * F.col("output_cost")
+    return models.withColumn("inputCost", a).withColumn("outputCost", b).withColumn("totalCost", a + b)
+
+
+#: Keys a cost table can be sorted by, and their columns.
+COST_KEYS = {"name": "name", "context": "context_limit", "inputCost": "inputCost", "outputCost": "outputCost", "totalCost": "totalCost"}
+
+
+def by_cost(costs: DataFrame, key: str = "totalCost", descending: bool = False) -> DataFrame:
+    """A cost table in order of one of its keys, equal rows by name (O3)."""
+    c = F.collate(F.col("name"), "UNICODE") if key == "name" else F.col(COST_KEYS[key])
+    return costs.orderBy(c.desc() if descending else c.asc(), "name")
+
+
+def cost_lines(costs: DataFrame) -> DataFrame:
+    """The columns of the exported cost table (K5): texts as the table shows them."""
+    return costs.select(
+        F.col("provider").alias("Provider"), F.col("name").alias("Model"), F.col("context_limit").alias("Context Limit"), format_cost(F.col("inputCost")).alias("Input Cost"),
+        format_cost(F.col("outputCost")).alias("Output Cost"), format_cost(F.col("totalCost")).alias("Total Cost"),
+    )
+
+
+def write_costs(costs: DataFrame, path: str) -> None:
+    """The cost table as CSV, fields quoted where they need it (K5); one file, as a catalog is small."""
+    cost_lines(costs).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def default_pick(models: DataFrame, order: str, by: list[str] | None = None, wanted: str = "sonnet") -> DataFrame:
+    """The first model whose name holds ``wanted``, or else the first."""
+    return winners(models, by or [], [F.when(F.lower("name").contains(wanted), 0).otherwise(1), F.col(order)])
+
+
 def explode_catalog(raw: DataFrame, providers: str = "providers") -> DataFrame:
     """Rows of a nested map of providers to maps of models."""
     one = raw.select(F.explode(providers).alias("provider_id", "provider"))

@@ -47,6 +47,45 @@ def thread(items: DataFrame, comments: DataFrame, id_col: str = "thread_id", ord
     return j.select(id_col, F.concat(text, F.lit("\n")).alias("markdown"))
 
 
+#: Characters of a text that stand for it in a description.
+DESCRIPTION = 200
+
+
+def article(rows: DataFrame, id_col: str = "clip_id") -> DataFrame:
+    """``(id, markdown)`` of clipped articles (L3): the byline is the author, or else the site."""
+    quoted = lambda c: yaml_string(F.coalesce(c, F.lit("")))
+    who = F.coalesce(F.when(F.col("author") != "", F.col("author")), F.col("site_name"), F.lit(""))
+    head = F.concat_ws(
+        "\n", F.lit("---"), F.concat(F.lit("title: "), quoted(F.col("title"))), F.concat(F.lit("source: "), quoted(F.col("url"))), F.lit("author:"), F.concat(F.lit("  - "), yaml_string(F.concat(F.lit("[["), who, F.lit("]]")))),
+        F.concat(F.lit("published: "), F.when(F.col("published") != "", iso_day(F.col("published"))).otherwise("")), F.concat(F.lit("created: "), F.coalesce("clipped_on", F.lit(""))),
+        F.concat(F.lit("description: "), quoted(F.substring("excerpt", 1, DESCRIPTION))), F.lit("tags:"), F.lit('  - "clippings"'), F.lit("---"),
+    )
+    return rows.select(id_col, F.concat(head, F.lit("\n![]("), F.coalesce("url", F.lit("")), F.lit(")\n\n"), F.coalesce("body", F.lit("")), F.lit("\n")).alias("markdown"))
+
+
+def ranked_threads(rows: DataFrame, groups: list[str], group: str = "group", replies: str = "replies", stamp: str = "ts", by_replies: bool = False) -> DataFrame:
+    """Threads by the rank of their group, then by replies if asked, the latest first."""
+    rank = F.coalesce(F.array_position(F.array(*(F.lit(g) for g in groups)), F.col(group)), F.lit(0))
+    lead = [rank.asc(), *([F.coalesce(replies, F.lit(0)).desc()] if by_replies else []), F.col(stamp).desc_nulls_last()]
+    return rows.orderBy(*lead)
+
+
+def seen_after(seen: DataFrame, found: DataFrame, key: str = "id", stamp: str = "ts") -> DataFrame:
+    """What has been seen after a run: the stamp found now replaces an earlier one (K9)."""
+    return upserted(seen.select(key, stamp), found.select(key, stamp).groupBy(key).agg(F.max(stamp).alias(stamp)), [key], stamp)
+
+
+def preview(text: Column, most: int = 4000) -> Column:
+    """The beginning of a text."""
+    return F.substring(text, 1, most)
+
+
+def preview_blocks(blocks: Column, head: int = 200, tail: int = 40) -> Column:
+    """The first and last blocks of a long list, all of a short one."""
+    n = F.size(blocks)
+    return F.when(n <= head + tail, blocks).otherwise(F.concat(F.slice(blocks, 1, head), F.slice(blocks, -tail, tail)))
+
+
 def transcript_line(seconds: Column, text: Column) -> Column:
     """A stamped line of speech (L1)."""
     h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), F.floor(seconds % 60)

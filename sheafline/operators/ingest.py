@@ -8,11 +8,23 @@ from pyspark.sql.window import Window
 
 from .paths import IgnoreRule, ignored, path_matches
 
-# fixed values: reasons a file holds nothing, by the word reports use
+# fixed values: why a file was refused, and the label a counter has for it
 EMPTY_REASONS = {
-    "No extractable text": "no-text", "Couldn't extract text": "extract-failed", "Password protected": "password", "Binary file": "binary", "Hidden file": "hidden", "File exceeds size limit": "oversize",
-    "Matches ignore pattern": "ignored", "Outside include pattern": "outside", "Ignored by .gitignore": "gitignore",
-}
+    "Outside include patterns": "include",
+    "Matched ignore patterns": "ignore",
+    "Matched .gitignore": "gitignore",
+    "Excluded manually": "manual",
+    "Hidden file": "hidden",
+    "Binary file": "binary",
+    "No extractable text": "no-text",
+    "Couldn't extract text": "extract-error",
+    "Password protected": "encrypted",
+}
+# fixed values: endings of archives and of images among dropped files
+ARCHIVE_NAMES = r"(?i)\.(7z|rar|zip|tar\.gz|tgz|tar|gz|bz2|xz)$"
+IMAGE_NAMES = r"(?i)\.(png|jpe?g|gif|webp|svg|bmp|ico|avif|heic|heif|tiff?)$"
+#: Findings that leave no text to filter: the file isn't one that filters held back.
+UNREADABLE = ("Binary file", "No extractable text", "Couldn't extract text", "Password protected")
 
 
 def decisions(files: DataFrame, include: str = "", ignore: str = "", rules: list[IgnoreRule] = (), overrides: DataFrame | None = None, path: str = "path") -> DataFrame:
@@ -26,7 +38,7 @@ def decisions(files: DataFrame, include: str = "", ignore: str = "", rules: list
     reason = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
     outside = ~path_matches(p, include) if include.strip() else F.lit(False)
     hit, git = path_matches(p, ignore), ignored(p, list(rules))
-    why = F.when(reason.isNotNull(), reason).when(outside, "Outside include pattern").when(hit, "Matches ignore pattern").when(git, "Ignored by .gitignore")
+    why = F.when(reason.isNotNull(), reason).when(outside, "Outside include patterns").when(hit, "Matched ignore patterns").when(git, "Matched .gitignore")
     df = files.withColumn("__why", why)
     if overrides is not None:
         # the last word a path was given
@@ -38,7 +50,7 @@ def decisions(files: DataFrame, include: str = "", ignore: str = "", rules: list
     locked = F.coalesce(F.col("__why") == "Binary file", F.lit(False))
     by_rule = F.col("__why").isNull()
     included = F.when(locked, F.lit(False)).otherwise(F.coalesce("__forced", by_rule))
-    return df.withColumn("included", included).withColumn("why", F.when(included, F.lit(None)).otherwise(F.coalesce("__why", F.lit("Manually excluded")))).drop("__why", "__forced")
+    return df.withColumn("included", included).withColumn("why", F.when(included, F.lit(None)).otherwise(F.coalesce("__why", F.lit("Excluded manually")))).drop("__why", "__forced")
 
 
 def exclusion_summary(decided: DataFrame, by: str = "bundle_id", path: str = "path", order: str = "ord") -> DataFrame:
@@ -86,18 +98,22 @@ def recognition_merged(entries: DataFrame, read: DataFrame, key: list[str]) -> D
     return untouched.unionByName(read.where(F.trim("content") != ""), allowMissingColumns=True)
 
 
-def empty_kind(decided: DataFrame, by: str = "bundle_id") -> DataFrame:
-    """Why a bundle has nothing in it."""
-    n = F.count(F.lit(1))
-    ext = F.lower(F.element_at(F.split("path", r"\."), -1))
-    image = ext.isin("png", "jpg", "jpeg", "gif", "tiff", "webp")
+def empty_kind(decided: DataFrame, by: str = "bundle_id", offerable: Column | None = None) -> DataFrame:
+    """Which kind of nothing a bundle without included files is.
+
+    The first that holds of: a document that opened without text (``scanned``), readable
+    files that filters hold back (``filtered``), an archive, images that nobody has tried
+    to read (``recognisable``, where ``offerable`` holds), at least half images, ``other``.
+    """
+    why = F.coalesce("why", F.lit(""))
     per = decided.groupBy(by).agg(
-        n.alias("n"), F.count_if("included").alias("i"), F.count_if(F.col("why") == "No extractable text").alias("scanned"), F.count_if(F.coalesce("why", F.lit("")).rlike("pattern|gitignore|Manually")).alias("filtered"),
-        F.count_if(ext.isin("zip", "tar", "gz", "rar", "7z")).alias("archive"), F.count_if(image).alias("image"),
+        F.count(F.lit(1)).alias("n"), F.count_if("included").alias("i"), F.count_if(~F.col("included") & (why == "No extractable text")).alias("scanned"),
+        F.count_if(~F.col("included") & ~why.isin(*UNREADABLE)).alias("filtered"), F.count_if(F.col("path").rlike(ARCHIVE_NAMES)).alias("archive"),
+        F.count_if(F.col("path").rlike(IMAGE_NAMES)).alias("image"), F.count_if(F.lit(False) if offerable is None else offerable).alias("offer"),
     )
     kind = (
-        F.when(F.col("n") == 0, "other").when(F.col("scanned") == F.col("n"), "scanned").when(F.col("filtered") == F.col("n"), "filtered").when(F.col("archive") > 0, "archive")
-        .when(2 * F.col("image") >= F.col("n"), "image").otherwise("other")
+        F.when(F.col("scanned") > 0, "scanned").when(F.col("filtered") > 0, "filtered").when(F.col("archive") > 0, "archive").when(F.col("offer") > 0, "recognisable")
+        .when((F.col("image") > 0) & (2 * F.col("image") >= F.col("n")), "image").otherwise("other")
     )
     return per.where("i = 0").select(by, kind.alias("kind"))
 
@@ -105,4 +121,31 @@ def empty_kind(decided: DataFrame, by: str = "bundle_id") -> DataFrame:
 def reason_slug(reason: Column) -> Column:
     """A reason as a counter label."""
     m = F.create_map(*(F.lit(x) for kv in EMPTY_REASONS.items() for x in kv))
-    return F.coalesce(F.element_at(m, reason), F.lit("other"))
+    return F.coalesce(F.try_element_at(m, reason), F.lit("other"))
+
+
+def _kept(validated: DataFrame, decided: DataFrame, on: list[str]) -> DataFrame:
+    return validated.join(decided.where("included").select(*on).distinct(), on, "left_semi")
+
+
+def flagged(validated: DataFrame, decided: DataFrame, on: list[str]) -> DataFrame:
+    """Included files of which it is open whether they are text."""
+    return _kept(validated.where("classification = 'ambiguous'"), decided, on)
+
+
+def extracted(validated: DataFrame, decided: DataFrame, on: list[str]) -> DataFrame:
+    """Included files whose text was taken out of a document."""
+    return _kept(validated.where("extracted"), decided, on)
+
+
+def partial(validated: DataFrame, decided: DataFrame, on: list[str]) -> DataFrame:
+    """Included documents that lost whole pages."""
+    return _kept(validated.where(F.array_contains("notes", "pages-skipped")), decided, on)
+
+
+def not_text(validated: DataFrame, unread: DataFrame, failed: DataFrame, on: list[str], path: str = "path") -> DataFrame:
+    """``(*on, why)`` of what can't be combined: refused files but hidden ones and unread documents, and failures."""
+    refused = validated.where(~F.col("included") & ~F.col("reason").eqNullSafe(F.lit("Hidden file"))).join(unread.select(*on), on, "left_anti")
+    closed = F.when(F.col(path).rlike(r"(?i)\.(7z|rar)$"), "This kind of archive can't be opened")
+    why = F.coalesce(closed, F.when(F.col("reason") != "", F.col("reason")), F.lit("Not text"))
+    return refused.select(*on, why.alias("why")).unionByName(failed.select(*on, F.col("error").alias("why")))

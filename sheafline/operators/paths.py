@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # fixed values: patterns of files that are noise in a bundle
 DEFAULT_IGNORE = (
@@ -316,11 +318,52 @@ def tree(paths: Sequence[str]) -> str:
     return "\n".join(lines)
 
 
-def trees(files: DataFrame, by: str, path: str = "path", order: str = "ord") -> DataFrame:
-    """``(by, tree)``: the drawing of each bundle (B1); a drawing is one text, so a bundle's paths meet in one row."""
+def drawing(listed: Column) -> Column:
+    """The drawing of an array of paths (B1)."""
+
     @F.pandas_udf("string")
     def drawn(paths: pd.Series) -> pd.Series:
         return pd.Series([tree(list(p)) for p in paths], dtype="object")
 
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, path))), lambda s: s[path])
-    return files.groupBy(by).agg(listed.alias("__p")).select(by, drawn("__p").alias("tree"))
+    return drawn(listed)
+
+
+def trees(files: DataFrame, by: str, path: str = "path", order: str = "ord", tie: str = "file_id") -> DataFrame:
+    """``(by, tree)``: the drawing of each bundle (B1); a drawing is one text, so a bundle's paths meet in one row."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, tie, path))), lambda s: s[path])
+    return files.groupBy(by).agg(listed.alias("__p")).select(by, drawing(F.col("__p")).alias("tree"))
+
+
+def listed_children(files: DataFrame, by: str, path: str = "path") -> DataFrame:
+    """``(by, parent, name, directory, place)``: entries of each directory, directories first, then by name."""
+    parts = F.filter(F.split(F.col(path), "/"), lambda x: x != "")
+    steps = F.transform(F.sequence(F.lit(1), F.size("__s")), lambda k: F.struct(F.array_join(F.slice("__s", 1, k - 1), "/").alias("parent"), F.element_at("__s", k).alias("name"), (k < F.size("__s")).alias("directory")))
+    rows = files.select(F.col(by), parts.alias("__s")).where(F.size("__s") > 0).select(by, F.inline(steps))
+    one = rows.groupBy(by, "parent", "name").agg(F.max("directory").alias("directory"))
+    place = F.row_number().over(Window.partitionBy(by, "parent").orderBy(F.col("directory").desc(), "name"))
+    return one.withColumn("place", place)
+
+
+def binary_endings() -> list[str]:
+    """Endings of media, archives, office files, fonts and programs (P12), by the kinds registered for them."""
+    known = mimetypes.MimeTypes(filenames=()).types_map[1]
+    textual = ("text/", "application/json", "application/javascript", "application/xml", "image/svg", "message/", "application/x-sh", "application/x-csh", "application/n-", "application/trig", "application/manifest")
+    texts = {"ts", "sh", "csh", "tcl", "tex", "latex", "texi", "texinfo", "roff", "t", "tr", "man", "me", "ms", "py", "m3u8", "webmanifest", "xsl", "rdf", "wsdl", "xpdl", "js", "mjs", "json", "xml", "c", "h", "ai", "eps", "ps", "src", "shar", "oda"}
+    more = "7z rar xz bz2 gz tgz tbz2 lz lzma zst jar war apk dmg iso img deb rpm class dex pyd o a so dll exe bin dat db sqlite woff woff2 ttf otf eot ttc psd sketch ico icns heic heif avif mkv m4a flac epub odt ods odp docx xlsx pptx".split()
+    return sorted({e.lstrip(".").lower() for e, kind in known.items() if not kind.startswith(textual)} - texts | set(more))
+
+
+def binary_by_name(path: Column, endings: Sequence[str] | None = None) -> Column:
+    """Whether a file's ending is on the list of those that hold no text (P12); the list is a parameter."""
+    ext = F.lower(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^.+\.([^.]*)$", 1))
+    return F.coalesce(ext.isin(list(endings if endings is not None else binary_endings())), F.lit(False))
+
+
+# fixed values: formats of documents that may be scans, and of images whose writing can be read
+SCANNABLE = ("pdf", "docx", "pptx", "odt", "odp", "rtf")
+RECOGNISABLE = ("png", "jpeg", "gif", "tiff", "webp")
+
+
+def may_be_read(format_: Column) -> Column:
+    """``document`` or ``image`` where recognition can be offered."""
+    return F.when(F.lower(format_).isin(*SCANNABLE), "document").when(F.lower(format_).isin(*RECOGNISABLE), "image")

@@ -161,3 +161,41 @@ def admitted(batches: DataFrame, body: str, names: list[str], ts: Column | None
     e = e.where(F.col("x.n").isin(names) & (value.isNull() | value.rlike(r"^[a-z0-9._/+-]{1,32}$")))
     out = e.select("ts", "page", F.col("x.n").alias("name"), value.alias("value"), _whole(F.col("x.r"), MAX_RUN).alias("run"), _whole(F.col("x.q"), MAX_AMOUNT).alias("n"), _whole(F.col("x.b"), MAX_AMOUNT).alias("b"))
     return out.where(F.col("value").isNotNull() | F.col("n").isNotNull() | F.col("b").isNotNull())
+
+
+def coverage(rows: DataFrame, state: str = "value") -> DataFrame:
+    """How many rows are in each state, the most first (G20); all errors are one state, unknown ones are ``(none)``."""
+    s = F.coalesce(F.col(state), F.lit("(none)"))
+    s = F.when(s.startswith("error"), "error").otherwise(s)
+    return rows.groupBy(s.alias(state)).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), state)
+
+
+def seldom_taken(rows: DataFrame, by: str, taken: Column, least: int = 15, share: float = 0.02) -> DataFrame:
+    """What is seen ``least`` times or more and taken less often than ``share``."""
+    per = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("impressions"), F.count_if(taken).alias("clicks"))
+    return per.where((F.col("impressions") >= least) & (F.col("clicks") < share * F.col("impressions")))
+
+
+def run_numbers(events: DataFrame, opens: str = "batch_size") -> DataFrame:
+    """``events`` with ``run_no``: how many drops their visit has had so far, the event's own included; null before the first.
+
+    A visit's events are ordered by time; a page with very many of them sorts in one task,
+    spilling, as each number needs those before.
+    """
+    w = Window.partitionBy("page").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.sum(F.when(F.col("name") == opens, 1).otherwise(0)).over(w)
+    return events.withColumn("run_no", F.when(F.col("page").isNotNull() & (n > 0), n).cast("long"))
+
+
+#: The sections of the overview, in the order they are shown.
+SECTIONS = ("funnel", "sizes", "over", "formats", "markers", "extensions")
+
+
+def overview(events: DataFrame, start: int | None = None) -> DataFrame:
+    """``(section, place, row)``: all reports in one (Q9), a row a line as JSON, in the order they are shown."""
+    tables = {"funnel": funnel(events, start), "sizes": sizes(events, start), "over": over(events), "formats": formats(events, start), "markers": markers(events), "extensions": extensions(events)}
+    out = None
+    for k, name in enumerate(SECTIONS):
+        part = tables[name].select(F.lit(name).alias("section"), F.lit(k + 1).alias("place"), F.to_json(F.struct("*")).alias("row"))
+        out = part if out is None else out.unionByName(part)
+    return out

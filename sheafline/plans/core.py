@@ -292,9 +292,9 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
 _DECIDED = r"""
 (SELECT file_id, bundle_id, ord, path, size_bytes, CASE WHEN starts_with(string_split(path, '/')[-1], '.') THEN 'Hidden file' WHEN ratio > 0.3 THEN 'Binary file' WHEN size_bytes > 8000 THEN 'File exceeds size limit' END AS reason,
   CASE WHEN reason IS NOT NULL THEN reason
-  WHEN NOT regexp_matches(path, '^(?:.*/)?[^/]*\.(?:py|ts|pdf|js)(?:/.*)?$|^(?:.*/)?(?:Dockerfile|\.env)(?:/.*)?$') THEN 'Outside include pattern'
-  WHEN regexp_matches(path, '^(?:.*/)?[^/]*\.js(?:/.*)?$|^(?:.*/)?src/app$') THEN 'Matches ignore pattern'
-  WHEN regexp_matches(path, '^(?:.*/)?[^/]*\.ts(?:/.*)?$') AND NOT regexp_matches(path, '^web/(?:[^/]+/)*[^/]*\.ts(?:/.*)?$') THEN 'Ignored by .gitignore' END AS why, why IS NULL AS included
+  WHEN NOT regexp_matches(path, '^(?:.*/)?[^/]*\.(?:py|ts|pdf|js)(?:/.*)?$|^(?:.*/)?(?:Dockerfile|\.env)(?:/.*)?$') THEN 'Outside include patterns'
+  WHEN regexp_matches(path, '^(?:.*/)?[^/]*\.js(?:/.*)?$|^(?:.*/)?src/app$') THEN 'Matched ignore patterns'
+  WHEN regexp_matches(path, '^(?:.*/)?[^/]*\.ts(?:/.*)?$') AND NOT regexp_matches(path, '^web/(?:[^/]+/)*[^/]*\.ts(?:/.*)?$') THEN 'Matched .gitignore' END AS why, why IS NULL AS included
 FROM (SELECT *, CASE WHEN s = '' THEN 0 ELSE (length(s) - length(regexp_replace(s, '[\x{00}-\x{08}\x{0B}\x{0E}-\x{1F}\x{FFFD}]', '', 'g'))) / length(s) END AS ratio FROM (SELECT *, substr(coalesce(content, ''), 1, 8192) AS s FROM output_files)))
 """
 

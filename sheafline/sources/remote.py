@@ -145,7 +145,25 @@ def list_gist(fetch: Fetch, owner: str | None, repo: str, branch: str | None = N
     return out
 
 
-LISTERS: dict[str, Callable[..., list[tuple[str, str]]]] = {"github": list_github, "gitlab": list_gitlab, "bitbucket": list_bitbucket, "gist": list_gist}
+def list_url(fetch: Fetch, owner: str | None, repo: str, branch: str | None, sub: str | None) -> list[tuple[str, str]]:
+    """One file by its address, named by the last segment of the path."""
+    path = repo.split("://", 1)[-1].split("?")[0].split("#")[0].partition("/")[2].rstrip("/")
+    return [(path.rpartition("/")[2] or "index.html", repo)]
+
+
+# fixed values: media types of texts
+TEXT_TYPES = ("text/", "application/json", "application/javascript", "application/xml", "application/x-yaml")
+
+
+def may_be_binary(media_type: Column) -> Column:
+    """Whether a response's type says neither that it is text nor in which character set."""
+    t, text = F.coalesce(media_type, F.lit("")), F.lit(False)
+    for x in TEXT_TYPES:
+        text = text | t.contains(x)
+    return ~text & ~t.contains("charset")
+
+
+LISTERS: dict[str, Callable[..., list[tuple[str, str]]]] = {"github": list_github, "gitlab": list_gitlab, "bitbucket": list_bitbucket, "gist": list_gist, "url": list_url}
 
 
 def unzipped(b: bytes, sub: str | None = None) -> Iterator[tuple[str, str]]:

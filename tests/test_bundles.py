@@ -70,7 +70,7 @@ def test_decisions(spark):
     df = spark.createDataFrame(rows, "path string, reason string, ord int")
     forced = spark.createDataFrame([("b.js", True, 1), ("c.png", True, 1), ("a.py", True, 1), ("a.py", False, 2)], "path string, include boolean, ord int")
     got = {r.path: (r.included, r.why) for r in I.decisions(df, include="*.py,*.js", ignore="*.js", overrides=forced).collect()}
-    assert got == {"a.py": (False, "Manually excluded"), "b.js": (True, None), "c.png": (False, "Binary file"), "d.md": (False, "Outside include pattern"), "e.py": (True, None)}
+    assert got == {"a.py": (False, "Excluded manually"), "b.js": (True, None), "c.png": (False, "Binary file"), "d.md": (False, "Outside include patterns"), "e.py": (True, None)}
 
 
 def test_merge_and_recognition(spark):
@@ -83,7 +83,7 @@ def test_merge_and_recognition(spark):
 
 
 def test_empty_kinds(spark):
-    rows = [(1, "a.pdf", False, "No extractable text"), (2, "a.py", False, "Matches ignore pattern"), (3, "a.png", False, "Binary file"), (4, "a.py", True, None), (5, "x.zip", False, "Binary file")]
+    rows = [(1, "a.pdf", False, "No extractable text"), (2, "a.py", False, "Matched ignore patterns"), (3, "a.png", False, "Binary file"), (4, "a.py", True, None), (5, "x.zip", False, "Binary file")]
     df = spark.createDataFrame(rows, "bundle_id long, path string, included boolean, why string")
     assert {r.bundle_id: r.kind for r in I.empty_kind(df).collect()} == {1: "scanned", 2: "filtered", 3: "image", 5: "archive"}
 
