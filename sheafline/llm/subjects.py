@@ -37,7 +37,7 @@ from .text import WORD, plain
 #: Places of words, divided among the languages; and of sources.
 PLACES = 1 << 20
 #: Labelled rows the seeds are read from, and documents that languages are learned from (those of lowest hash).
-LABELLED_ROWS, LANGUAGE_ROWS = 1_000_000, 100_000
+LABELLED_ROWS, LANGUAGE_ROWS = 1_000_000, 10_000
 #: Documents that have to claim a language for it to be learned.
 LANGUAGE_LEAST = 5
 ROUNDS = 5
@@ -275,6 +275,21 @@ def _induced(places: np.ndarray, counts: np.ndarray, span: int, least: float = 4
     return places[kept], q[kept]
 
 
+class Hashes(dict):
+    """Places of words within the part of a language; what was seen is kept."""
+
+    def __init__(self, span: int):
+        super().__init__()
+        self.span = span
+
+    def __missing__(self, w: str) -> int:
+        k = self[w] = xxh64_intdigest(w) % self.span
+        return k
+
+    def __reduce__(self):
+        return Hashes, (self.span,)
+
+
 class Tongues:
     """Languages of sentences by naive Bayes over words."""
 
@@ -283,21 +298,26 @@ class Tongues:
         self.at = {w: i for i, w in enumerate(words)}
         self.log = np.vstack([np.log(shares.reshape(len(words), len(langs)) + 0.02), np.zeros(len(langs))])
         self.span = PLACES // max(1, len(langs))
+        self.hashes = Hashes(self.span)
 
     def of(self, sents: list[list[str]]) -> list[int]:
         """The language of each sentence; one of at most one known word has that of its document."""
         if not sents:
             return []
         at, last = self.at, len(self.at)
-        index = [[at.get(w, last) for w in s] for s in sents]
-        scores = np.array([self.log[x].sum(axis=0) for x in index])
-        known = np.array([sum(i != last for i in x) for x in index])
+        index = np.fromiter((at.get(w, last) for s in sents for w in s), dtype=np.int64)
+        sizes = np.array([len(s) for s in sents])
+        starts = np.cumsum(sizes) - sizes
+        scores = np.add.reduceat(self.log[index], starts, axis=0)
+        known = np.add.reduceat((index != last).astype(np.int64), starts)
         return np.where(known >= 2, scores.argmax(axis=1), scores.sum(axis=0).argmax()).tolist()
 
     def placed(self, sents: list[list[str]]) -> list[list[int]]:
         """Words as places, each sentence in the part of its language."""
-        span = self.span
-        return [[lang * span + xxh64_intdigest(w) % span for w in s] for s, lang in zip(sents, self.of(sents))]
+        hashes, span = self.hashes, self.span
+        if len(hashes) > 500_000:
+            hashes.clear()
+        return [[lang * span + hashes[w] for w in s] for s, lang in zip(sents, self.of(sents))]
 
 
 def _tongues(docs: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
