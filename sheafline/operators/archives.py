@@ -86,7 +86,7 @@ def opened(files: DataFrame, expand: bool = True, id_col: str = "ord") -> tuple[
     Where ``expand`` is off every archive stays a file. Kinds that can't be opened are
     never dropped: they stay visible, with a count beside what they would have held.
     """
-    can = F.col("kind").isin("zip", "tar", "gz")
+    can = F.col("archive").isin(*OPENABLE)
     if not expand:
         return expanded(files.limit(0), id_col), files
     return expanded(files.where(can), id_col), files.where(~F.coalesce(can, F.lit(False)))

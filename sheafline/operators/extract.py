@@ -503,3 +503,19 @@ def iter_json_values(node: object, key: str) -> Iterator[object]:
     elif isinstance(node, list):
         for v in node:
             yield from iter_json_values(v, key)
+
+
+def json_values(rows: DataFrame, id_col: str, text: str, key: str) -> DataFrame:
+    """``(id, pos, value)``: every value under ``key`` at any depth of a JSON column, as JSON, in order (C27); broken JSON has none."""
+
+    def found(raw: str | None) -> list[str]:
+        try:
+            return [json.dumps(v, ensure_ascii=False) for v in iter_json_values(json.loads(raw or ""), key)]
+        except ValueError:
+            return []
+
+    @F.pandas_udf("array<string>")
+    def values(texts: pd.Series) -> pd.Series:
+        return pd.Series([found(t) for t in texts], dtype="object")
+
+    return rows.select(id_col, F.posexplode(values(F.col(text))).alias("pos", "value"))

@@ -90,7 +90,7 @@ def _digested(df):
     return df.select("bundle_id", "kind", "n_files", "n_chars", F.md5(F.col("bundle").cast("binary")).alias("digest"))
 
 
-for _n in ("b3_xml", "b4_markdown", "b5_plain", "n4_parts", "j9_unseen", "g20_histogram", "seldom_taken", "c20_urls", "t6_abandoned", "e5_html"):
+for _n in ("b3_xml", "b4_markdown", "b5_plain", "n4_parts", "j9_unseen", "g20_histogram", "seldom_taken", "c20_urls", "t6_abandoned", "e5_html", "l5_threads", "e17_placeholders"):
     QUERIES.pop(_n, None)
     SQL.pop(_n, None)
 
@@ -208,7 +208,7 @@ def o4_children(spark, d):
 # -- what a drop came to -------------------------------------------------------------------------
 
 
-@query(f"""
+@query(r"""
 SELECT bundle_id, CASE WHEN scanned > 0 THEN 'scanned' WHEN filtered > 0 THEN 'filtered' WHEN archive > 0 THEN 'archive' WHEN image > 0 AND image >= n / 2 THEN 'image' ELSE 'other' END AS kind
 FROM (SELECT bundle_id, count(*) AS n, count(*) FILTER (why = 'No extractable text') AS scanned, count(*) FILTER (why NOT IN ('Binary file', 'No extractable text', 'Couldn''t extract text', 'Password protected')) AS filtered,
   count(*) FILTER (regexp_matches(path, '(?i)\.(7z|rar|zip|tar\.gz|tgz|tar|gz|bz2|xz)$')) AS archive, count(*) FILTER (regexp_matches(path, '(?i)\.(png|jpe?g|gif|webp|svg|bmp|ico|avif|heic|heif|tiff?)$')) AS image
@@ -550,3 +550,47 @@ def e3_captions(spark, d):
     cues = F.transform(said, lambda x, i: F.concat((i + 1).cast("string"), F.lit("\r\n00:00:01,000 --> 00:00:02,000\r\n<i>"), x, F.lit("</i>")))
     rows = table(spark, d, "emails").where(F.size(said) > 0).select("email_id", F.encode(F.array_join(cues, "\r\n\r\n"), "UTF-8").alias("content"), F.lit("subtitles").alias("parser_id"))
     return extract.extracted(rows).select("email_id", F.col("extraction.text").alias("said"))
+
+
+@query("""
+WITH RECURSIVE f AS (SELECT message_id, min(email_id) AS id, min(in_reply_to) AS irt FROM emails WHERE message_id IS NOT NULL GROUP BY 1),
+n AS (SELECT f.id, p.id AS parent_id FROM f LEFT JOIN f p ON f.irt = p.message_id),
+r AS (SELECT id, 0 AS depth, lpad(CAST(id AS VARCHAR), 10, '0') AS place FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, r.depth + 1, r.place || '/' || lpad(CAST(n.id AS VARCHAR), 10, '0') FROM n JOIN r ON n.parent_id = r.id)
+SELECT * FROM r
+""")
+def l5_threads(spark, d):
+    """Replies under the messages they answer, in pre-order."""
+    e = table(spark, d, "emails").select("email_id", "message_id", "in_reply_to").where("message_id IS NOT NULL")
+    first = e.groupBy("message_id").agg(F.min("email_id").alias("id"), F.min("in_reply_to").alias("in_reply_to"))
+    ids = first.select(F.col("message_id").alias("in_reply_to"), F.col("id").alias("parent_id"))
+    nodes = first.join(ids, "in_reply_to", "left").select("id", "parent_id", F.col("id").alias("ord"))
+    return clips.flattened(nodes).select("id", "depth", "place")
+
+
+@query(r"""
+WITH m AS (SELECT file_id, list('[Image: ' || name || ']' || chr(1) || coalesce(trim(ocr_text, ' '), '') ORDER BY image_id, name, ocr_text) AS reads FROM extracted_images WHERE name IS NOT NULL GROUP BY file_id)
+SELECT f.file_id, md5(regexp_replace(CASE WHEN reads IS NULL THEN content ELSE list_reduce(list_concat([content], reads), lambda acc, x: replace(acc, string_split(x, chr(1))[1], string_split(x, chr(1))[2])) END, '\[Image: [^\]\n]*\]', '', 'g')) AS digest
+FROM output_files f LEFT JOIN m ON m.file_id = f.file_id WHERE contains(content, '[Image: ')
+""")
+def e17_placeholders(spark, d):
+    """Documents with their images' text in place."""
+    from ..operators import extract
+
+    found = extract.filled_placeholders(_files(spark, d).where(F.col("content").contains("[Image: ")), table(spark, d, "extracted_images"))
+    return found.select("file_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT file_id, CASE WHEN why = 'Binary file' THEN false WHEN file_id % 4 = 0 THEN file_id % 8 = 0 ELSE included END AS included FROM {_DECIDED}")
+def p9_overrides(spark, d):
+    """The last word a path was given wins, but never over a binary file."""
+    x = _decided(spark, d).select("file_id", F.concat(F.col("file_id").cast("string"), F.lit("/"), "path").alias("path"), "reason", "why", "included")
+    said = x.where("file_id % 4 = 0").select("path", F.posexplode(F.array(F.lit(True), F.col("file_id") % 8 == 0)).alias("ord", "include"))
+    return ingest.decisions(x.select("file_id", "path", F.col("why").alias("reason")), overrides=said).select("file_id", "included")
+
+
+@query("SELECT DISTINCT page, value FROM usage_events WHERE name = 'entry_surface' AND page IS NOT NULL")
+def t5_once(spark, d):
+    """T4, T5: each surface of a visit once, over what has arrived."""
+    from ..streaming import events as stream
+
+    return stream.once_per(_events(spark, d).where("name = 'entry_surface' AND page IS NOT NULL").select("page", "value"), ["page", "value"])

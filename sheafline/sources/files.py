@@ -6,9 +6,12 @@ import os
 import re
 from collections.abc import Iterator, Sequence
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..operators.classify import decoded
 from ..operators.paths import DEFAULT_IGNORE, path_regex
 
 HEAD_BYTES = 8192
@@ -86,3 +89,17 @@ class TreeSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return TreeReader(schema, self.options)
+
+
+#: Characters of ignore files that a scan may gather; rules are few beside what they rule.
+MOST_RULES = 16_000_000
+
+
+def ignore_sources(tree: DataFrame) -> list[tuple[str, str]]:
+    """``(directory, text)`` of the ignore files in a tree read with its content, outer ones first (S2), for :func:`ignore_rules`."""
+    name = F.element_at(F.split("path", "/"), -1)
+    found = tree.where((name == ".gitignore") & F.col("content").isNotNull()).select("path", decoded("content").alias("text"))
+    size = found.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > MOST_RULES:
+        raise ValueError(f"{size} characters of ignore rules")
+    return sorted(((r.path.rpartition("/")[0], r.text) for r in found.collect()), key=lambda x: (x[0].count("/") + bool(x[0]), x[0]))

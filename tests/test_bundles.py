@@ -1,5 +1,7 @@
+import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheafline.functions import scalars as S
@@ -17,7 +19,7 @@ def test_styles(spark):
     xml = {r.bundle_id: (r.kind, r.bundle) for r in B.assembled(df, "xml").collect()}
     assert [xml[k][0] for k in (1, 2, 3)] == ["codebase", "documents", "files"]
     assert '<file path="b&quot;&lt;.py" language="python">\nx < y & z\n</file>' in xml[1][1] and xml[1][1].index("a.py") < xml[1][1].index("x < y")
-    assert "- text below was read by recognition, a guess at the characters: a.py" in xml[1][1] and "recognition" not in xml[2][1]
+    assert "- text below was read by recognition, a guess at the characters rather than the file's own: a.py" in xml[1][1] and "recognition" not in xml[2][1]
     md = {r.bundle_id: r.bundle for r in B.assembled(df, "markdown").collect()}
     assert "### a.py\n\n```python\n```\n```" in md[1] and md[1].startswith("# Codebase: project")
     plain = {r.bundle_id: r.bundle for r in B.assembled(df, "plain").collect()}
@@ -149,9 +151,75 @@ def test_written_bundles(spark, tmp_path):
     B.write_bundles(b, str(tmp_path / "out"))
     texts = {r.bundle_id: r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
     assert texts[1].startswith("Codebase: project") and "FILE: b.md" in texts[2]
-    import json
+    assert B.artifact(b.where("bundle_id = 1")) == texts[1]
+    for bad in (lambda: B.artifact(b), lambda: B.artifact(b.limit(1), as_json=True)):
+        with pytest.raises(ValueError):
+            bad()
 
-    assert {json.loads(r.value)["style"] for r in B.run_summary(b.drop("bundle"), "plain").collect()} == {"plain"}
+
+def test_accounts(spark):
+    rows = [(1, 10, None, True), (1, 20, None, None), (1, 30, "oversize", None), (1, None, "readError", None), (2, 5, "binary", True), (2, 6, "parseFailed", False)]
+    a = B.accounting(spark.createDataFrame(rows, "bundle_id long, size_bytes long, skipped string, parsed boolean"))
+    got = {r.bundle_id: json.loads(r.value) for r in B.run_summary(a, "xml", seconds=1.23456).collect()}
+    assert got[1] == {"files": 2, "parsed": 1, "skipped": 2, "skippedBreakdown": {"oversize": 1, "binary": 0, "readError": 1, "parseFailed": 0}, "totalBytes": 30, "outputPath": "stdout", "elapsedSeconds": 1.235, "style": "xml"}
+    assert got[2]["files"] == 0 and got[2]["totalBytes"] == 0 and got[2]["skipped"] == 2
+
+
+def test_missing_lists_and_parts_in_bundles(spark):
+    rows = [(1, 1, 0, "src/a.py", "x" * 30, 30, None), (1, 2, 1, "src/b.py", "y" * 25, 25, None), (1, 3, 2, "10/n.md", "z", 1, None), (2, 4, 0, "c.py", "w", 1, None)]
+    df = spark.createDataFrame(rows, FILES)
+    lacking = spark.createDataFrame([(1, ["big.bin"], [], ["p.png", "q.png"])], "bundle_id long, oversize array<string>, unextractable array<string>, binary array<string>")
+    got = {r.bundle_id: r.bundle for r in B.assembled(df, "markdown", excluded=lacking).collect()}
+    assert "File count: 3.\nNot included (content not shown):\n- over the size limit: big.bin\n- 2 image or binary files: p.png, q.png\n" in got[1] and "Not included" not in got[2]
+    assert "```\n├── 10\n│   └── n.md\n└── src\n    ├── a.py\n    └── b.py\n```" in got[1]
+    cut = B.split_parts(df, 20)
+    assert sorted((r.bundle_id, r.part, r.path, len(r.content)) for r in cut.collect()) == [
+        (1, 1, "src/a.py (part 1/2)", 20), (1, 2, "src/a.py (part 2/2)", 10), (1, 3, "src/b.py (part 1/2)", 20), (1, 4, "src/b.py (part 2/2)", 5), (1, 5, "10/n.md", 1), (2, 1, "c.py", 1),
+    ]
+    parts = {(r.bundle_id, r.part): r.bundle for r in B.assembled(cut, "plain", by=("bundle_id", "part"), n_parts="n_parts").collect()}
+    assert parts[1, 2].startswith("Files: project (Part 2 of 5)\n") and "Part 2 of 5.\n" in parts[1, 2] and len(parts) == 6
+    assert B.parts(df.limit(0), 20).count() == 0
+
+
+def test_prices_and_labels(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [one(S.format_cost(F.lit(x))) for x in (0.0, 0.00042, 0.0042, 0.42, 4.2)] == ["$0.00", "$0.000420", "$0.0042", "$0.420", "$4.20"]
+    assert [one(S.format_limit(F.lit(n))) for n in (999, 128_000, 1_000_000, 1_050_000)] == ["999", "128K", "1.0M", "1.1M"]
+    assert [one(S.format_price(F.lit(a), F.lit(b))) for a, b in ((0.0, 0.0), (0.0, 1.0), (0.005, 1.0), (3.0, 1.0))] == ["Pricing N/A", "Free", "$0.0050", "$3.00"]
+    assert [one(S.may_refuse_other_sites(F.lit(u))) for u in ("https://raw.githubusercontent.com/o/r/x", "https://cdn.jsdelivr.net/x", "https://x.test/a", "nonsense")] == [False, False, True, True]
+    assert one(S.html_text(F.lit("<P>a&#8364;&#38;lt;&LT;&#x41;<br>&#1114112;&NBSP;b</p>"))) == "a€<<&#x41;\n\ufffd b"
+    assert one(S.error_label(F.lit("error"), F.lit("importing a module script failed"), F.lit("TypeError"))) == "error/chunk"
+
+
+def test_models(spark):
+    rows = [("B Sonnet", 2, 3.0, 15.0), ("A", 1, 0.0, 0.0), ("C", 3, 1.0, 5.0)]
+    m = spark.createDataFrame(rows, "name string, ord int, input_cost double, output_cost double").withColumn("context_limit", F.lit(1000)).withColumn("provider", F.lit("p,q"))
+    costs = C.cost_table(m, 1_000_000)
+    assert [r.name for r in C.by_cost(costs).collect()] == ["A", "C", "B Sonnet"] and [r.name for r in C.by_cost(costs, "name", True).collect()] == ["C", "B Sonnet", "A"]
+    assert {r["Total Cost"] for r in C.cost_lines(costs).collect()} == {"$0.00", "$1.50", "$4.50"}
+    assert C.default_pick(m, "ord").first().name == "B Sonnet" and C.default_pick(m.where("ord <> 2"), "ord").first().name == "A"
+
+
+def test_written_costs(spark, tmp_path):
+    m = spark.createDataFrame([("A, b", "p", 5, 1.0, 1.0)], "name string, provider string, context_limit int, input_cost double, output_cost double")
+    C.write_costs(C.cost_table(m, 10), str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["Model"] == "A, b"
+
+
+def test_order_of_threads_and_seen(spark):
+    rows = spark.createDataFrame([("a", "g2", 1, 50), ("b", "g1", None, 10), ("c", "g1", 9, 5)], "id string, group string, replies int, ts long")
+    assert [r.id for r in L.ranked_threads(rows, ["g1", "g2"]).collect()] == ["b", "c", "a"] and [r.id for r in L.ranked_threads(rows, ["g1", "g2"], by_replies=True).collect()] == ["c", "b", "a"]
+    assert {(r.id, r.ts) for r in L.seen_after(rows.where("id <> 'c'").select("id", (F.col("ts") - 1).alias("ts")), rows.where("id <> 'b'")).collect()} == {("a", 50), ("b", 9), ("c", 5)}
+
+
+def test_not_text_and_kinds(spark):
+    v = spark.createDataFrame([("a.rar", False, "Binary file"), (".b", False, "Hidden file"), ("c.pdf", False, "No extractable text"), ("d", False, ""), ("e.py", True, None)], "path string, included boolean, reason string")
+    gone = spark.createDataFrame([("f", "timed out")], "path string, error string")
+    got = {r.path: r.why for r in I.not_text(v, v.where("path = 'c.pdf'"), gone, ["path"]).collect()}
+    assert got == {"a.rar": "This kind of archive can't be opened", "d": "Not text", "f": "timed out"}
+    rows = [(1, "a.pdf", "No extractable text"), (1, "a.py", "Matched ignore patterns"), (2, "a.png", "Binary file"), (2, "b.gif", "Binary file"), (3, "x.tgz", "Binary file"), (4, "a.bin", "Binary file")]
+    df = spark.createDataFrame(rows, "bundle_id long, path string, why string").withColumn("included", F.lit(False))
+    assert {r.bundle_id: r.kind for r in I.empty_kind(df, offerable=F.col("path") == "b.gif").collect()} == {1: "scanned", 2: "recognisable", 3: "archive", 4: "other"}
 
 
 def test_presets(spark):

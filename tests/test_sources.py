@@ -81,3 +81,72 @@ def test_errors_and_links(spark):
     assert df.select(R.error_text(F.col("s"), F.lit("It"))).collect()[2][0] == "It was not found"
     md = spark.range(1).select(R.flattened_links(F.lit("[a](/x) [b](https://me.test/y) [c](https://o.test/) [d](javascript:z) [e](mailto:q)"), "https://me.test").alias("x")).first().x
     assert md == "a b [c](https://o.test/) d [e](mailto:q)"
+
+
+def test_single_address():
+    fetch = R.recorded({})
+    assert R.list_url(fetch, None, "https://x.test/a/b.md?v=1#top", None, None) == [("b.md", "https://x.test/a/b.md?v=1#top")] and R.list_url(fetch, None, "https://x.test", None, None)[0][0] == "index.html"
+
+
+def test_remote_url_source(spark, tmp_path):
+    url = "https://x.test/a/b.md"
+    (tmp_path / "r.json").write_text(json.dumps({url: [200, {}, base64.b64encode(b"hello").decode()]}))
+    spark.dataSource.register(R.RemoteSource)
+    got = spark.read.format("remote").options(type="url", repo=url, recording=str(tmp_path / "r.json")).load().collect()
+    assert [tuple(r) for r in got] == [("b.md", "hello", 200)]
+    types = spark.createDataFrame([("text/plain",), ("application/json",), ("image/png",), ("x/y; charset=utf-8",), (None,)], "t string")
+    assert [r[0] for r in types.select(R.may_be_binary(F.col("t"))).collect()] == [False, False, True, False, True]
+
+
+def test_settings(tmp_path):
+    from sheafline.sources import config as C
+
+    assert C.settings({"style": "xml"}, str(tmp_path)) == {"style": "xml"}
+    (tmp_path / C.CONFIG_FILES[0]).write_text("{broken")
+    (tmp_path / C.CONFIG_FILES[1]).write_text('{"style": "plain"}')
+    (tmp_path / "mine.json").write_text('{"style": "markdown"}')
+    assert C.settings({"style": "xml", "k": 1}, str(tmp_path)) == {"style": "plain", "k": 1} and C.settings({}, str(tmp_path), "mine.json") == {"style": "markdown"} and C.settings({}, str(tmp_path), "none.json") == {"style": "plain"}
+
+
+def test_item_trees(spark, tmp_path):
+    from sheafline.operators import clips as L
+    from sheafline.sources import config as C
+
+    tree = {"id": 1, "author": "a", "text": "t", "created_at": "2026", "children": [{"id": 2, "author": None, "text": None, "children": [{"id": 4, "author": "d", "text": "x", "children": []}]}, {"id": 3, "author": "c", "text": "y"}]}
+    (tmp_path / "1.json").write_text(json.dumps(tree))
+    rows = C.item_tree(spark, str(tmp_path))
+    assert [(r.id, r.depth, r.dead) for r in L.flattened(rows).orderBy("place").collect()] == [(1, 0, False), (2, 1, True), (4, 2, False), (3, 1, False)]
+
+
+def test_archives_that_stay(spark):
+    from sheafline.operators import archives as A
+
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("x.txt", "hi")
+    df = spark.createDataFrame([(1, "a.zip", "zip", buf.getvalue()), (2, "b.rar", "rar", b"Rar!"), (3, "c.bin", None, b"z")], "ord long, path string, archive string, content binary")
+    inside, stay = A.opened(df)
+    assert [r.path for r in inside.collect()] == ["a/x.txt"] and {r.path for r in stay.collect()} == {"b.rar", "c.bin"}
+    inside, stay = A.opened(df, expand=False)
+    assert inside.count() == 0 and stay.count() == 3
+
+
+def test_gathered_ignore_files(spark, tmp_path):
+    from sheafline.operators import paths as P
+    from sheafline.sources.files import ignore_sources
+
+    for name, body in {".gitignore": "*.log\n", "a/.gitignore": "!keep.log\n", "x.log": "", "a/keep.log": "", "a/b.log": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    spark.dataSource.register(TreeSource)
+    tree = spark.read.format("tree").options(path=str(tmp_path)).load()
+    found = ignore_sources(tree)
+    assert found == [("", "*.log\n"), ("a", "!keep.log\n")]
+    assert {r.path for r in tree.where(P.ignored(F.col("path"), P.ignore_rules(found))).collect()} == {"x.log", "a/b.log"}
+
+
+def test_json_values(spark):
+    from sheafline.operators import extract as E
+
+    df = spark.createDataFrame([(1, '{"a": {"k": 1}, "b": [{"k": "x"}, {"k": {"k": null}}]}'), (2, "{broken"), (3, None)], "id long, t string")
+    assert [(r.id, r.pos, r.value) for r in E.json_values(df, "id", "t", "k").orderBy("id", "pos").collect()] == [(1, 0, "1"), (1, 1, '"x"'), (1, 2, '{"k": null}'), (1, 3, "null")]
