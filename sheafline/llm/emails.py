@@ -325,7 +325,11 @@ class Parser:
         return root
 
     def _nested(self, lines: list[Line]) -> Node:
-        """A quote is a message again, one level down."""
+        """A quote is a message again, one level down.
+
+        Nothing in a quote is newly written, so that levels below the eighth, which stay
+        lines of their quote, change no result.
+        """
         inner = []
         for x in lines:
             m = _PREFIX.match(x.text)
