@@ -320,6 +320,8 @@ class Linker:
 
     def link(self, w: str, n: int) -> tuple[str, str, bool] | None:
         """``(kind, what it was, sure)`` for a word that is not what was printed."""
+        if len(w) > LONGEST_WORD:
+            return None
         known = self.n
         floor = max(TARGET_LEAST, RATIO * n)
         odd = bool(_MIXED.search(w))
@@ -352,7 +354,7 @@ class Linker:
         joined, compound = known.get(base + right, 0), known.get(f"{left}-{right}", 0)
         if joined or compound:
             return joined >= compound
-        if any(known.get(v, 0) >= 5 for v in edits(base + right)):
+        if len(base + right) <= LONGEST_WORD and any(known.get(v, 0) >= 5 for v in edits(base + right)):
             return True
         # the corpus knows neither: two words of their own make a compound
         return not (known.get(base, 0) >= 5 and known.get(right, 0) >= 5)
