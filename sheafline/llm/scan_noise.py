@@ -254,7 +254,8 @@ class Page:
                 self.broken.append((half[0], half[1], right.rstrip(HYPHENS) if right else ""))
                 parts = parts[1:]
             half = None
-            m = _BREAK.search(line.rstrip("\r "))
+            # looked for only where a line ends in a hyphen: a search from every letter of a long run takes too long
+            m = _BREAK.search(parts[-1]) if parts and parts[-1][-1] in HYPHENS else None
             if m and parts:
                 half = (i, m[1])
                 parts = parts[:-1]
