@@ -180,7 +180,7 @@ _ENDINGS = ", ".join(f"'{e}'" for e in paths.binary_endings())
 
 
 @query(f"SELECT file_id, lower(regexp_extract(string_split(path, '/')[-1], '^.+\\.([^.]*)$', 1)) IN ({_ENDINGS}) AS denied FROM output_files")
-def p12_denied(spark, d):
+def denied_endings(spark, d):
     """P12."""
     return _files(spark, d).select("file_id", paths.binary_by_name(F.col("path")).alias("denied"))
 
@@ -189,7 +189,7 @@ def p12_denied(spark, d):
 SELECT file_id, CASE WHEN e IN ('pdf', 'docx', 'pptx', 'odt', 'odp', 'rtf') THEN 'document' WHEN e IN ('png', 'jpeg', 'gif', 'tiff', 'webp') THEN 'image' END AS offered
 FROM (SELECT file_id, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS e FROM output_files)
 """.replace("\\\\", "\\"))
-def p21_offered(spark, d):
+def offered_formats(spark, d):
     """P21."""
     return _files(spark, d).select("file_id", paths.may_be_read(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("offered"))
 
@@ -319,7 +319,7 @@ def c26_picks(spark, d):
 
 
 @query(f"SELECT uid, input_cost > 0 OR output_cost > 0 AS priced, uid % 2 = 0 AND uid % 3 <> 0 AS texts FROM {_MODELS}")
-def p19_texts(spark, d):
+def text_models(spark, d):
     """P19."""
     i = F.col("uid")
     reads, writes = F.when(i % 2 == 0, F.array(F.lit("image"), F.lit("text"))).otherwise(F.array(F.lit("image"))), F.when(i % 3 != 0, F.array(F.lit("text"))).otherwise(F.lit(None).cast("array<string>"))
@@ -581,7 +581,7 @@ def e17_placeholders(spark, d):
 
 
 @query(f"SELECT file_id, CASE WHEN why = 'Binary file' THEN false WHEN file_id % 4 = 0 THEN file_id % 8 = 0 ELSE included END AS included FROM {_DECIDED}")
-def p9_overrides(spark, d):
+def overridden(spark, d):
     """The last word a path was given wins, but never over a binary file."""
     x = _decided(spark, d).select("file_id", F.concat(F.col("file_id").cast("string"), F.lit("/"), "path").alias("path"), "reason", "why", "included")
     said = x.where("file_id % 4 = 0").select("path", F.posexplode(F.array(F.lit(True), F.col("file_id") % 8 == 0)).alias("ord", "include"))
