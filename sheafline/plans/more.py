@@ -543,13 +543,14 @@ SELECT email_id, array_to_string(list_transform(list_filter(string_split_regex(c
 WHERE len(list_filter(string_split_regex(coalesce(text, ''), '[.!?]\s+|\n'), lambda x: regexp_matches(x, '^[A-Za-z ,]{8,}$'))) > 0
 """)
 def e3_captions(spark, d):
-    """Sentences as captions, with their scaffolding taken off again; a line that repeats the one before is told once."""
+    """Sentences as captions, with their scaffolding taken off again; each has a voice of its own, as the operator tells a line that repeats the one before once."""
     from ..operators import extract
 
-    said = F.filter(F.split(F.coalesce("text", F.lit("")), r"[.!?]\s+|\n"), lambda x: x.rlike(r"^[A-Za-z ,]{8,}\z"))
-    cues = F.transform(said, lambda x, i: F.concat((i + 1).cast("string"), F.lit("\r\n00:00:01,000 --> 00:00:02,000\r\n<i>"), x, F.lit("</i>")))
+    # the white space of SQL's pattern, which has no vertical tab
+    said = F.filter(F.split(F.coalesce("text", F.lit("")), r"[.!?][ \t\n\f\r]+|\n"), lambda x: x.rlike(r"^[A-Za-z ,]{8,}\z"))
+    cues = F.transform(said, lambda x, i: F.concat((i + 1).cast("string"), F.lit("\r\n00:00:01,000 --> 00:00:02,000\r\n<v "), i.cast("string"), F.lit("><i>"), x, F.lit("</i></v>")))
     rows = table(spark, d, "emails").where(F.size(said) > 0).select("email_id", F.encode(F.array_join(cues, "\r\n\r\n"), "UTF-8").alias("content"), F.lit("subtitles").alias("parser_id"))
-    return extract.extracted(rows).select("email_id", F.col("extraction.text").alias("said"))
+    return extract.extracted(rows).select("email_id", F.regexp_replace("extraction.text", r"(?m)^\d+: ?", "").alias("said"))
 
 
 @query("""
