@@ -2,9 +2,11 @@
 
 A file becomes a sequence of tokens without comments and spacing. With its identifiers,
 strings and numbers masked, five successive tokens are a shingle; a shingle that stands
-``k`` times in a file counts ``k`` times. Files of equal masked tokens are one class.
-Classes are bucketed by MinHash bands of their shingles, and the members of a bucket are
-linked where the similarity of their shingles is verified.
+``k`` times in a file counts ``k`` times. Files of equal masked tokens are one class, short
+ones those of equal tokens, as their names tell which are copies.
+Classes are bucketed by MinHash bands, of their shingles in each repository and of what
+proves a copy everywhere, and the members of a bucket are linked where the similarity of
+their shingles is verified.
 
 * a class that spans repositories, or is linked to one of another repository or to a library
   that says so in its header, is vendored, whatever its identifiers were renamed to;
@@ -20,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,10 +35,12 @@ from ..session import cut
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: Two sets of that similarity and of about the same size share a band with a probability of 0.98.
-BANDS, ROWS = 40, 10
-#: Bytes of a sketch, and the estimate from which a pair is verified: more than three deviations below ``SIMILAR``.
-SKETCH, WORTH = 96, 0.65
+#: Two sets of that similarity share no band with a probability of 5e-6, more similar ones with less.
+BANDS, ROWS = 40, 6
+#: Bytes of a sketch, and the estimate from which a pair is verified: more than five deviations below ``SIMILAR``.
+SKETCH, WORTH = BANDS * ROWS, 0.65
+#: Members up to which all pairs of a bucket are compared, whatever they are linked to.
+CROWD = 100
 #: Tokens below which a file is too short to prove a copy by itself, and below which its names have to be the same too.
 LEAST_TOKENS, LONG_TOKENS = 40, 120
 #: Members from which look-alikes in one repository are a family.
@@ -77,8 +82,10 @@ KEYWORDS = frozenset(
     "import in include instanceof interface is lambda let match module namespace new nil none not null or override package pass private protected public raise range require return select self sizeof static struct super switch "
     "then this throw throws trait true try type typedef typeof unless until use using var virtual void volatile when where while with yield false".split()
 )
-#: In which order places of a MinHash meet in bands.
-_ORDER = np.random.default_rng(20240229).permutation(BANDS * ROWS)
+#: Odd factors: each puts the 32-bit hashes in another order.
+_ORDERS = np.random.default_rng(20240229).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: What a bucket's members have in common, in the last bits of its key: shingles in one repository, bound identifiers, names.
+HOME, TIED, NAMED = 0, 1, 2
 
 
 def ending(path: str) -> str:
@@ -176,34 +183,22 @@ def shingles(h: np.ndarray) -> np.ndarray:
 
 
 def minima(sh: np.ndarray) -> np.ndarray:
-    """A MinHash of one permutation: the least hash of each of equal ranges; a range without one has that of the next."""
-    n = BANDS * ROWS
-    edge = (np.arange(n + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n)
-    at = np.searchsorted(sh, edge[:-1].astype(np.uint32))
-    # the first hash at or behind the edge; past the last it goes round
-    away = np.searchsorted(edge, sh[at % len(sh)].astype(np.uint64), side="right")
-    return (sh[at % len(sh)].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (away.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """The least hash in each of ``BANDS * ROWS`` orders."""
+    low = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(0, len(sh), 256):
+        np.minimum(low, (sh[k : k + 256, None] * _ORDERS).min(axis=0), out=low)
+    return low
 
 
-def bands(sh: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """``BANDS`` keys of ``ROWS`` minima each, and a sketch of single bytes of minima.
-
-    Keys hold a class of sizes: half of the bands on one grid, half on one between, so
-    that sets that may be similar have a class in common.
-    """
+def bands(sh: np.ndarray, kind: int = HOME) -> tuple[np.ndarray, bytes]:
+    """``BANDS`` keys of ``ROWS`` minima each, and a sketch of single bytes of all minima."""
     low = minima(sh)
-    step = np.log(len(sh)) / (-2 * np.log(SIMILAR))
-    size = np.where(np.arange(BANDS) % 2, np.floor(step + 0.5), np.floor(step)).astype(np.uint64)
-    out = np.arange(BANDS, dtype=np.uint64) ^ (size << np.uint64(20))
-    for x in low[_ORDER].reshape(BANDS, ROWS).T:
+    out = np.arange(BANDS, dtype=np.uint64)
+    for x in low.astype(np.uint64).reshape(BANDS, ROWS).T:
         out = (out ^ x) * np.uint64(0xFF51AFD7ED558CCD)
         out ^= out >> np.uint64(33)
-    return out.view(np.int64), sketched(low)
-
-
-def sketched(low: np.ndarray) -> bytes:
-    some = low[:: len(low) // SKETCH][:SKETCH]
-    return ((some * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(56)).astype(np.uint8).tobytes()
+    out = out & np.uint64(0xFFFFFFFFFFFFFFFC) | np.uint64(kind)
+    return out.view(np.int64), ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def form(h: np.ndarray) -> int:
@@ -294,7 +289,12 @@ def literal_only(raw: str, mask: str) -> bool:
     return (literals >= 24 and names <= 0.12 * (names + literals)) or (len(raw) > 400 and literals > 0 and kept < 0.15 * len(raw) and sum("I" in x for x in lines) <= max(1, 0.2 * len(lines)))
 
 
-_FEATURES = "file_id long, bundle_id long, path string, mark string, form long, n_tokens int, raw_hash long, mask_hash long, digest long, bands array<long>, sketch binary, proof binary, n_shingles int"
+def _has_names(n: int) -> bool:
+    """Whether a text is short, or not longer than the longest that may be similar to a short one."""
+    return n * SIMILAR <= LONG_TOKENS + SHINGLE
+
+
+_FEATURES = "file_id long, bundle_id long, path string, mark string, form long, n_tokens int, raw_hash long, mask_hash long, digest long, bands array<long>, sketch binary, copies array<long>, tied binary, named binary, n_shingles int"
 
 
 def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,14 +310,14 @@ def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for file_id, bundle_id, path, text in b[["file_id", "bundle_id", "path", "content"]].itertuples(index=False, name=None):
             path, text = path or "", text or ""
             mark = marks(path, text)
-            n, literal, raw_hash, mask_hash, digest, keys, sketch, proof, size = 0, None, None, None, None, None, None, None, 0
+            n, literal, raw_hash, mask_hash, digest, keys, sketch, copies, tied, named, size = 0, None, None, None, None, None, None, None, None, None, 0
             if ending(path) in CODE and mark not in ("lock", "map"):
                 found = tokens(text)
                 n = len(found)
                 if n:
                     h, own = hashed(found)
                     raw_hash = xxhash.xxh64_intdigest("\0".join(found)) - 2**63
-                    mask_hash = xxhash.xxh64_intdigest(h.tobytes()) - 2**63
+                    mask_hash = xxhash.xxh64_intdigest(h.tobytes()) - 2**63 if n >= LONG_TOKENS else raw_hash
                     digest = xxhash.xxh64_intdigest(text) - 2**63
                     if mark is None and np.isin(h, _LITERALS).sum() >= 0.1 * n:
                         raw = "\n".join(words(text))
@@ -325,13 +325,18 @@ def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if n >= LEAST_TOKENS and mark != "minified" and literal is None:
                         s = shingles(h)
                         keys, sketch = bands(s)
-                        keys, size = keys.tolist(), len(s)
-                        proof = sketched(minima(shingles(bound(h, own) if n >= LONG_TOKENS else own)))
-            out.append((file_id, bundle_id, path, mark, literal, n, raw_hash, mask_hash, digest, keys, sketch, proof, size))
-        pdf = pd.DataFrame(out, columns=["file_id", "bundle_id", "path", "mark", "form", "n_tokens", "raw_hash", "mask_hash", "digest", "bands", "sketch", "proof", "n_shingles"])
+                        keys, size, copies = keys.tolist(), len(s), []
+                        if n >= LONG_TOKENS:
+                            more, tied = bands(shingles(bound(h, own)), TIED)
+                            copies += more.tolist()
+                        if _has_names(n):
+                            more, named = bands(shingles(own), NAMED)
+                            copies += more.tolist()
+            out.append((file_id, bundle_id, path, mark, literal, n, raw_hash, mask_hash, digest, keys, sketch, copies, tied, named, size))
+        pdf = pd.DataFrame(out, columns=["file_id", "bundle_id", "path", "mark", "form", "n_tokens", "raw_hash", "mask_hash", "digest", "bands", "sketch", "copies", "tied", "named", "n_shingles"])
         whole = ["file_id", "bundle_id", "form", "raw_hash", "mask_hash", "digest"]
         pdf[whole] = pdf[whole].astype("Int64")
-        some = ["bands", "sketch", "proof"]
+        some = ["bands", "sketch", "copies", "tied", "named"]
         pdf[some] = pdf[some].astype("object")
         yield pdf
 
@@ -347,9 +352,9 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for wanted, text in zip(b["class"], b["content"]):
             found = tokens(text or "")
             h, own = hashed(found)
-            # names also of the longest text that may be similar to a short one
-            names = shingles(own).tobytes() if len(found) * SIMILAR <= LONG_TOKENS + SHINGLE else None
-            out.append((wanted, xxhash.xxh64_intdigest(h.tobytes()) - 2**63 == wanted, len(found), shingles(h).tobytes(), shingles(bound(h, own)).tobytes(), names))
+            names = shingles(own).tobytes() if _has_names(len(found)) else None
+            own_class = xxhash.xxh64_intdigest(h.tobytes() if len(found) >= LONG_TOKENS else "\0".join(found)) - 2**63
+            out.append((wanted, own_class == wanted, len(found), shingles(h).tobytes(), shingles(bound(h, own)).tobytes(), names))
         cols = (("class", "int64"), ("same", "bool"), ("n_tokens", "int32"), ("shingles", "object"), ("bindings", "object"), ("names", "object"))
         yield pd.DataFrame({c: pd.Series([r[k] for r in out], dtype=t) for k, (c, t) in enumerate(cols)})
 
@@ -395,42 +400,90 @@ def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs ``(a, b, kind)`` of about one size of each bucket, from members sorted by bucket.
+
+    Of a bucket of more than ``CROWD`` members each is given with the first one and with
+    the ``key``. No bucket is held: of a crowded one, its first member alone is kept.
+    """
+
+    def told(key: np.ndarray, a: np.ndarray, b: np.ndarray, crowded: bool) -> pd.DataFrame:
+        keys = pd.Series(key, dtype="Int64") if crowded else pd.Series(pd.NA, index=range(len(key)), dtype="Int64")
+        return pd.DataFrame({"a": a, "b": b, "kind": (key & 3).astype(np.int32), "key": keys})
+
+    key, cls, n = (np.zeros(0, np.int64) for _ in range(3))
+    crowd = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            key, cls, n = (np.concatenate([x, batch[c].to_numpy(np.int64)]) for x, c in ((key, "key"), (cls, "class"), (n, "n")))
+        if crowd is not None:
+            end = int(np.searchsorted(key, crowd[0], side="right"))
+            yield told(key[:end], np.full(end, crowd[1], np.int64), cls[:end], True)
+            key, cls, n = key[end:], cls[end:], n[end:]
+        if not len(key):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        # of the last bucket more may follow
+        crowd = (key[-1], cls[first[-1]]) if size[-1] > CROWD else None
+        whole = len(key) if batch is None or crowd else int(first[-1])
+        many = np.repeat(size > CROWD, size)
+        yield told(key[many], cls[np.repeat(first, size)[many]], cls[many], True)
+        at = np.flatnonzero(~many[:whole])
+        k, c, m = key[at], cls[at], n[at]
+        for off in range(1, CROWD):
+            x = np.flatnonzero(k[off:] == k[:-off])
+            if not len(x):
+                break
+            y = x + off
+            fit = (np.minimum(m[x], m[y]) >= (SIMILAR - 1e-9) * np.maximum(m[x], m[y])) & (c[x] != c[y])
+            x, y = x[fit], y[fit]
+            yield told(k[x], np.minimum(c[x], c[y]), np.maximum(c[x], c[y]), False)
+        key, cls, n = key[whole:], cls[whole:], n[whole:]
+
+
 def linked(feats: DataFrame, files: DataFrame) -> DataFrame:
-    """Verified links ``(a, b, alike, copy)`` between classes of different masked tokens.
-
-    A bucket's members are compared with its first member, the hub. What is linked to
-    the hub hangs together through it; every other member is compared with all members
-    of the bucket, but for pairs that can't be similar: sets whose sizes differ by more
-    than ``SIMILAR`` allows, and, as the Jaccard distance is a metric, sets whose
-    distances to the hub do. Sketches tell which pairs are worth verifying; the sets of
-    those alone are made, from their texts.
+    """Verified links ``(a, b, alike, copy)`` between different classes.
+
+    Looked for are look-alikes in one repository, in the buckets of the bands of their
+    shingles there, and copies anywhere, in those of the bands of what proves a copy (a
+    copy is a look-alike, too). All pairs of a bucket are compared. Of a crowded bucket
+    each member is compared with the first one, the hub: those verified to be linked to
+    it, by what the bucket is for, hang together through it, as a family of that
+    repository or as copies; every other member is compared with all members. Sketches
+    tell which pairs are worth verifying; the sets of those alone are made, from their
+    texts.
     """
-    one = F.min(F.struct("file_id", "bands", "sketch", "proof", "n_shingles", "n_tokens")).alias("m")
-    homes = F.min("bundle_id").alias("low"), F.max("bundle_id").alias("high")
-    classes = cut(feats.where("bands IS NOT NULL").groupBy("mask_hash").agg(one, *homes).select("mask_hash", "m.bands", "m.sketch", "m.proof", F.col("m.n_shingles").alias("n"), (F.col("m.n_tokens") >= LONG_TOKENS).alias("long"), "low", "high"))
-    keys = classes.select("mask_hash", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("mask_hash").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    members = cut(keys.join(hubs, "key").where("mask_hash <> hub"))
-    told = classes.select("mask_hash", "sketch", "proof", "n", "long", "low", "high")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """``(a, b, sim, worth)`` of pairs of about one size: what sketches say, and whether a link of theirs could tell anything."""
-        ends = [told.toDF(x, *(f"{c}_{x}" for c in told.columns[1:])) for x in "ab"]
-        both = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("n_a", "n_b") >= (SIMILAR - 1e-9) * F.greatest("n_a", "n_b"))
-        # look-alikes tell something inside one repository, copies anywhere; proofs of a long and a short text don't compare
-        may = (F.least("high_a", "high_b") >= F.greatest("low_a", "low_b")) | (F.col("long_a") != F.col("long_b")) | (_estimate("proof_a", "proof_b") >= WORTH)
-        return cut(both.select("a", "b", _estimate("sketch_a", "sketch_b").alias("sim"), F.coalesce(may, F.lit(True)).alias("worth")))
-
-    first = near(members.select(F.col("mask_hash").alias("a"), F.col("hub").alias("b")).distinct())
-    hubs = first.select(F.col("a").alias("mask_hash"), F.col("b").alias("hub"), "sim")
-    placed = cut(members.join(hubs, ["mask_hash", "hub"], "left").join(told.select("mask_hash", "n"), "mask_hash").select("key", "mask_hash", "sim", "n"))
-    x, y = placed.where(F.coalesce("sim", F.lit(0.0)) < WORTH).toDF("key", "x", "sim_x", "n_x"), placed.toDF("key", "y", "sim_y", "n_y")
-    # estimates may be off by as much as WORTH is below SIMILAR, each
-    slack = 1 - SIMILAR + 2 * (SIMILAR - WORTH)
-    can = F.coalesce(F.abs(F.col("sim_x") - F.col("sim_y")) <= slack, F.lit(True)) & (F.least("n_x", "n_y") >= (SIMILAR - 1e-9) * F.greatest("n_x", "n_y"))
-    rest = x.join(y, "key").where(((F.coalesce("sim_y", F.lit(0.0)) >= WORTH) | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y")) & can).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    worth = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim", "worth").union(near(rest)).where((F.col("sim") >= WORTH) & F.col("worth")).select("a", "b").distinct()
-    return _verified(cut(worth), feats, files)
+    some = feats.where("bands IS NOT NULL")
+    one = F.min(F.struct("file_id", "raw_hash", "bands", "copies", "sketch", "tied", "named", "n_shingles")).alias("m")
+    classes = cut(some.groupBy(F.col("mask_hash").alias("class")).agg(one).select("class", "m.bands", "m.copies", "m.sketch", "m.tied", "m.named", F.col("m.n_shingles").alias("n")))
+    homes = some.where("bundle_id IS NOT NULL").select("bundle_id", F.col("mask_hash").alias("class")).distinct()
+    at_home = homes.join(classes.select("class", "bands", "n"), "class").select("bundle_id", "class", "n", F.explode("bands").alias("band"))
+    here = at_home.select(F.xxhash64("bundle_id", "band").bitwiseAND(F.lit(~3)).alias("key"), "class", "n")
+    keys = here.union(classes.select(F.explode("copies").alias("key"), "class", "n"))
+    met = cut(keys.repartition("key").sortWithinPartitions("key", "class").mapInPandas(_met, "a long, b long, kind int, key long"))
+    # in the order of kinds
+    sketches = F.posexplode(F.array("sketch", "tied", "named")).alias("kind", "sketch")
+    told = classes.select("class", sketches).where("sketch IS NOT NULL")
+
+    def worth(pairs: DataFrame) -> DataFrame:
+        """Pairs ``(a, b)`` of those with a kind that the sketches of that kind tell to be similar."""
+        both = pairs.join(told.toDF("a", "kind", "sketch_a"), ["a", "kind"]).join(told.toDF("b", "kind", "sketch_b"), ["b", "kind"])
+        return cut(both.where(_estimate("sketch_a", "sketch_b") >= WORTH).select("a", "b").distinct())
+
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    links = _verified(worth(met.where("a <> b").select(*ends, "kind").distinct()), feats, files)
+    crowds = met.where("key IS NOT NULL AND a <> b").select("key", "kind", F.col("b").alias("member"), *ends)
+    if crowds.isEmpty():
+        return links
+    bonds = links.select("a", "b", (F.col("copy") >= SIMILAR).alias("copies"))
+    tied = F.coalesce(F.when(F.col("kind") == HOME, F.col("copies").isNotNull()).otherwise(F.col("copies")), F.lit(False))
+    placed = crowds.join(bonds, ["a", "b"], "left").select("key", "kind", F.col("member").alias("class"), tied.alias("tied")).join(classes.select("class", "n"), "class")
+    placed = cut(placed.select("key", "kind", "class", "tied", "n"))
+    x, y = placed.where("NOT tied").select("key", "kind", F.col("class").alias("x"), F.col("n").alias("n_x")), placed.select("key", F.col("class").alias("y"), "tied", F.col("n").alias("n_y"))
+    can = ((F.col("x") < F.col("y")) | F.col("tied")) & (F.col("x") != F.col("y")) & (F.least("n_x", "n_y") >= (SIMILAR - 1e-9) * F.greatest("n_x", "n_y"))
+    rest = x.join(y, "key").where(can).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind").distinct()
+    return cut(links.union(_verified(worth(rest.join(links, ["a", "b"], "left_anti")), feats, files)))
 
 
 def _homes(feats: DataFrame, by: str) -> DataFrame:

@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sheafline.llm import handwritten as H
@@ -152,3 +154,90 @@ def test_marks_behind_long_licences():
     packages = "".join(f'"p{k}": {{"version": "1.0.{k}", "requires": true}}, ' for k in range(99))
     assert H.marks("deps.json", "{" + packages + '"q": {"resolved": "https://r.test/q.tgz"}}') == "lock"
     assert H.marks("tickets.json", "{" + packages + '"q": {"resolved": false}}') is None
+
+
+def telling(texts):
+    """By brute force: pairs of similar classes that share a repository or prove a copy."""
+    feats = {}
+    for i, b, t in texts:
+        found = H.tokens(t)
+        h, own = H.Masker()(found)
+        c = tuple(h.tolist()) if len(h) >= H.LONG_TOKENS else tuple(found)
+        feats.setdefault(c, [len(h), H.shingles(h), (H.shingles(H.bound(h, own)).tobytes(), H.shingles(own).tobytes()), set(), i])[3].add(b)
+    out = set()
+    for x, y in itertools.combinations(feats.values(), 2):
+        if H.similarity(x[1], y[1]) >= H.SIMILAR and (x[3] & y[3] or H._copied(min(x[0], y[0]), (x[2][0], y[2][0]), (x[2][1], y[2][1])) >= H.SIMILAR):
+            out.add(frozenset((x[4], y[4])))
+    return out
+
+
+def test_links_are_those_of_brute_force(spark):
+    """Short and long texts with few to many changed lines, in two repositories."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(40):
+        lines = code(200 + k, (5, 8, 16, 60)[k % 4]).split("\n")
+        for j in range(5):
+            more = list(lines)
+            for i in range(rng.randrange((2, 3, 5, 14)[k % 4])):
+                more.insert(rng.randrange(1, len(more)), f"    raise E{k}_{j}_{i}")
+            texts.append((len(texts), (k + j) % 2, "\n".join(more)))
+    feats, files = feature_rows(spark, texts)
+    ids = {r.mask_hash: r.i for r in feats.where("bands IS NOT NULL").groupBy("mask_hash").agg(F.min("file_id").alias("i")).collect()}
+    got = {frozenset((ids[r.a], ids[r.b])) for r in H.linked(feats, files).collect()}
+    wanted = {p for p in telling(texts) if p <= set(ids.values())}
+    assert len(wanted) >= 40 and wanted <= got
+
+
+def test_links_of_members_near_the_hub(spark):
+    """Members that are nearly similar to the first one of their bucket, but not quite, are compared with each other."""
+    base = code(5, 60)
+    texts = [(1, 1, changed_lines(base, 1, 0.05))] + [(2 + k, 1, base + f"\nlast{k}(a, {k}, [b])" + ".x" * k) for k in range(4)]
+    sh = {i: sets(t)[0] for i, _, t in texts}
+    assert all(0.7 < H.similarity(sh[1], sh[k]) < H.SIMILAR <= H.similarity(sh[2], sh[k]) for k in range(2, 6))
+    feats, files = feature_rows(spark, texts)
+    feats = feats.withColumn("bands", F.array(F.lit(1).cast("long"))).withColumn("mask_hash", F.col("file_id"))
+    assert {frozenset((r.a, r.b)) for r in H.linked(feats, files).collect()} == {frozenset(p) for p in itertools.combinations(range(2, 6), 2)}
+
+
+def test_families_beside_a_hub_elsewhere(spark):
+    """Look-alikes of one repository are a family, although all are linked to a text of another one."""
+    texts = [(10 + k, 1 if k else 2, code(40, 60).replace("v40_", f"w{k}_") + f"\nlast{k}(a, {k}, [b])" + ".x" * k) for k in range(5)]
+    feats, files = feature_rows(spark, texts)
+    feats = feats.withColumn("bands", F.array(F.lit(1).cast("long"))).withColumn("mask_hash", F.col("file_id"))
+    assert {r.mask_hash for r in H._families(feats, H.linked(feats, files)).collect()} == {11, 12, 13, 14}
+
+
+def test_crowded_buckets(spark):
+    """Of a bucket with more members than are all compared, families come out as from all pairs."""
+    base, other = code(50, 9), code(51, 9)
+    texts = [(k, 1, changed_lines(other if k % 3 else base, k, 0.12)) for k in range(H.CROWD + 20)] + [(900, 2, other), (901, 1, code(52, 9))]
+    feats, files = feature_rows(spark, texts)
+    one = feats.where("bands IS NOT NULL").withColumn("bands", F.array(F.lit(1).cast("long"))).withColumn("mask_hash", F.col("file_id"))
+    sh = {i: sets(t)[0] for i, b, t in texts if b == 1}
+    every = [(a, b) for a, b in itertools.combinations(sh, 2) if H.similarity(sh[a], sh[b]) >= H.SIMILAR]
+    wanted = {r.mask_hash for r in H._families(one, spark.createDataFrame(every, "a long, b long")).collect()}
+    assert len(wanted) > 50 and {r.mask_hash for r in H._families(one, H.linked(one, files)).collect()} == wanted
+
+
+def test_buckets_in_any_batches():
+    rng = random.Random(3)
+    rows = sorted({(4 * k, rng.randrange(10**6)) for k, n in enumerate((1, 2, 100, 101, 350, 3, 1, 102)) for _ in range(n)})
+    sizes = {c: rng.choice((90, 100, 120)) for _, c in rows}
+    held = {k: [c for q, c in rows if q == k] for k in {q for q, _ in rows}}
+    small = {(*sorted(p), None) for m in held.values() if len(m) <= H.CROWD for p in itertools.combinations(m, 2) if min(map(sizes.get, p)) >= 0.8 * max(map(sizes.get, p))}
+    crowds = {(min(m), c, k) for k, m in held.items() if len(m) > H.CROWD for c in m}
+    assert small and len(crowds) > 500
+    for step in (1, 7, 100, 101, 9999):
+        parts = (pd.DataFrame([(k, c, sizes[c]) for k, c in rows[i : i + step]], columns=["key", "class", "n"]) for i in range(0, len(rows), step))
+        got = [(r.a, r.b, None if pd.isna(r.key) else r.key) for b in H._met(parts) for r in b.itertuples()]
+        assert len(got) == len(set(got)) and set(got) == small | crowds
+
+
+def test_short_files_are_told_by_all_their_names(spark):
+    """A changed copy of a short file is found, although the first file of that shape has other names."""
+    base = code(60, 10)
+    rows = [(1, 1, "src/a.py", base.replace("v60_", "q")), (2, 2, "src/b.py", base), (3, 3, "src/c.py", base + "\nmore(1)")]
+    assert H.LEAST_TOKENS < len(H.tokens(base)) < H.LONG_TOKENS
+    df = spark.createDataFrame(rows, "file_id long, bundle_id long, path string, content string")
+    assert {r.file_id: r.reason for r in H.machine_files(df).collect()} == {2: "vendored", 3: "vendored"}
